@@ -81,7 +81,7 @@ def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) ->
       'size': length(regexp_extract_all(t, '{p}')[i]), 'least': length(regexp_extract_all(t, '{p}', {group})[i])}}), lambda s: s.least >= {least})"""
 
 
-_OP3_PARTS = ", ".join(_spans_sql(r.kind, i, r.pattern if r.kind != "hex" else "[0-9a-f]{32,}", r.group, r.least) for i, r in enumerate(secrets.RULES))
+_OP3_PARTS = ", ".join(_spans_sql(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(secrets.RULES))
 _OP3_TEXT = "list_transform(list_sort({}), lambda s: concat_ws(':', s.name, s.start, s.start + s.size))"
 _OP3 = f"""
 WITH found AS (SELECT doc_id, flatten([{_OP3_PARTS}]) AS spans FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))

@@ -14,7 +14,6 @@ whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from re import _constants as sre
@@ -41,8 +40,8 @@ class Rule:
 #: The three kinds of the contract come first and in this order (fixed values).
 BASE_RULES = (
     Rule("assign", f"({KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", "[0-9a-f]+", 0, 32),
+    Rule("access", "AKIA[A-Z0-9]{12,}"),  # a run that is too short at its first AKIA is too short at any later one
+    Rule("hex", "[0-9a-f]{32,}"),
 )
 #: Public token formats with a fixed prefix.
 MORE_RULES = (
@@ -159,11 +158,26 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
 _BLOCK = 64
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside a lambda, an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(numbers: Column, start: Column) -> Column:
+    return F.aggregate(numbers, start, lambda a, x: a + x)
+
+
 def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements, by blocks so that the work stays near linear."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x))
-    starts = F.transform(blocks, lambda _, i: F.aggregate(F.slice(blocks, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.get(starts, F.floor(i / _BLOCK).cast("int")), lambda a, x: a + x))
+    """For each element the sum of those before it, by blocks so that the work stays near linear."""
+    zero, block = F.lit(0), lambda i: F.floor(i / _BLOCK).cast("int")
+    totals = F.transform(F.sequence(zero, block(F.size(lengths))), lambda b: _total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), zero))
+    return _let(
+        totals,
+        lambda t: _let(
+            F.transform(t, lambda _, i: _total(F.slice(t, F.lit(1), i), zero)),
+            lambda starts: F.transform(lengths, lambda _, i: _total(F.slice(lengths, block(i) * _BLOCK + 1, i % _BLOCK), F.get(starts, block(i)))),
+        ),
+    )
 
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -172,13 +186,21 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     Splitting at the matches gives the text between them; lengths of pieces and
     matches, summed up, give the places.
     """
-    pieces, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    steps = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda m, p: F.length(m) + F.coalesce(F.length(p), F.lit(0)))
-    starts = F.transform(_running(steps), lambda s: s + F.length(F.get(pieces, F.lit(0))))
-    rows = F.transform(F.arrays_zip(starts.alias("s"), found.alias("m"), kept.alias("v")), lambda x: F.struct(x["s"].alias("start"), F.lit(number).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), F.length(x["v"]).alias("n")))
-    rows = F.filter(rows, lambda x: x["n"] >= rule.least)
-    return F.transform(rows, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    pattern = F.lit(rule.pattern)
+    parts = F.struct(
+        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gaps"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias("sizes"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("kept"),
+    )
+
+    def placed(p: Column) -> Column:
+        gaps, sizes = p["gaps"], p["sizes"]
+        steps = F.zip_with(sizes, F.slice(gaps, F.lit(2), F.size(sizes)), lambda m, g: m + F.coalesce(g, F.lit(0)))
+        starts = _let(steps, _running)
+        rows = F.zip_with(F.zip_with(starts, sizes, lambda s, m: F.struct((s + F.get(gaps, F.lit(0))).alias("s"), m.alias("m"))), p["kept"], lambda x, v: F.struct(x["s"].alias("start"), F.lit(number).alias("kind"), (x["s"] + x["m"]).alias("end"), v.alias("n")))
+        return F.transform(F.filter(rows, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    return _let(parts, placed)
 
 
 _NONE = "array<struct<start:int,kind:int,end:int>>"
@@ -204,7 +226,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc
             here = F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
             here &= F.col("text").rlike(rule.pattern)
         else:
-            here = F.col("text").rlike(re.sub(r"\+$", f"{{{max(1, rule.least)}}}", rule.pattern))
+            here = F.col("text").rlike(rule.pattern)
         parts.append(F.when(here, spans_of(F.col("text"), rule, i)).otherwise(empty))
     return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("rules")
 
