@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import linededup, mixing, secrets
+from quillgraph.llm import decontam, linededup, mixing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,22 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.rendered("fp").alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -105,4 +117,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": _OP2, "op3_secret_scan": _OP3, "op5_line_dedup": _OP5}
+_GRAMS = rf"""
+SELECT DISTINCT {{id}}, array_to_string(w[i:i + 4], ' ') AS g FROM (
+  SELECT {{id}}, w, unnest(range(1, len(w) - 3)) AS i FROM (
+    SELECT {{id}}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM {{table}}))
+"""
+_OP8 = f"""
+WITH d AS ({_GRAMS.format(id="doc_id", table="documents")}), b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, round(n_shared / n_shingles, 6) AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": _OP2, "op3_secret_scan": _OP3, "op5_line_dedup": _OP5, "op8_decontamination": _OP8}
