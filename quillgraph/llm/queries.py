@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, linededup, mil, mixing, outliers, secrets, simhash, tokencount
+from quillgraph.llm import decontam, htmlmain, linededup, mil, mixing, outliers, secrets, simhash, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_payload_digest",
+        F.col("source_headers")["WARC-Block-Digest"].alias("source_block_digest"), F.size("source_headers").cast("long").alias("n_source_headers"),
+        "block_digest", F.octet_length("block").cast("long").alias("content_length"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +50,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmlmain.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.rendered("fp").alias("fingerprint"), "component_id")
@@ -64,10 +78,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_outliers": op4_quality_outliers,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
