@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,11 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda, an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A 64-bit key of (id, text).  Rows that share it are identical (or, at 2**-64, verified apart later)."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -20,6 +20,8 @@ results; other columns, whatever their names, are kept and not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,24 @@ def _normal_words(text: Column) -> Column:
     return common.words_of(common.ascii_lower(common.text_of(text)))
 
 
-def _at(words: Column, i: Column, j: int) -> Column:
-    return F.get(words, i + j)
+def _windows(words: Column, size: int, of: Callable[..., Column]) -> Column:
+    """``of`` the words of each window of ``size`` words."""
+
+    def every(w: Column) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(0)))
+        return F.transform(starts, lambda first, i: of(first, *[F.get(w, i + j) for j in range(1, size)]))
+
+    return common.let(words, every)
 
 
 def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     """array<long>: a hash for each window of ``size`` words, repeats included."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(w, *[_at(words, i, j) for j in range(1, size)]))
+    return _windows(words, size, F.xxhash64)
 
 
 def shingles(words: Column, size: int = SHINGLE) -> Column:
     """array<string>: the distinct windows of ``size`` words."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
-    return F.array_distinct(F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[_at(words, i, j) for j in range(1, size)])))
+    return F.array_distinct(_windows(words, size, lambda *w: F.concat_ws(" ", *w)))
 
 
 def _size_class(n: Column) -> Column:

@@ -158,11 +158,6 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
 _BLOCK = 64
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; inside a lambda, an outer expression is computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _total(numbers: Column, start: Column) -> Column:
     return F.aggregate(numbers, start, lambda a, x: a + x)
 
@@ -171,9 +166,9 @@ def _running(lengths: Column) -> Column:
     """For each element the sum of those before it, by blocks so that the work stays near linear."""
     zero, block = F.lit(0), lambda i: F.floor(i / _BLOCK).cast("int")
     totals = F.transform(F.sequence(zero, block(F.size(lengths))), lambda b: _total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), zero))
-    return _let(
+    return common.let(
         totals,
-        lambda t: _let(
+        lambda t: common.let(
             F.transform(t, lambda _, i: _total(F.slice(t, F.lit(1), i), zero)),
             lambda starts: F.transform(lengths, lambda _, i: _total(F.slice(lengths, block(i) * _BLOCK + 1, i % _BLOCK), F.get(starts, block(i)))),
         ),
@@ -196,11 +191,11 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     def placed(p: Column) -> Column:
         gaps, sizes = p["gaps"], p["sizes"]
         steps = F.zip_with(sizes, F.slice(gaps, F.lit(2), F.size(sizes)), lambda m, g: m + F.coalesce(g, F.lit(0)))
-        starts = _let(steps, _running)
+        starts = common.let(steps, _running)
         rows = F.zip_with(F.zip_with(starts, sizes, lambda s, m: F.struct((s + F.get(gaps, F.lit(0))).alias("s"), m.alias("m"))), p["kept"], lambda x, v: F.struct(x["s"].alias("start"), F.lit(number).alias("kind"), (x["s"] + x["m"]).alias("end"), v.alias("n")))
         return F.transform(F.filter(rows, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    return _let(parts, placed)
+    return common.let(parts, placed)
 
 
 _NONE = "array<struct<start:int,kind:int,end:int>>"
