@@ -79,19 +79,21 @@ def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     sketch = per_item.select("item_key", F.col("need").alias("needs"), F.explode("sketch").alias("h"))
     # The hash bound of each size partition: at most 31 rows, one a power of two.
     limits = {r.c: r.h for r in per_item.groupBy(_size_class(F.col("need") + (size - 1)).alias("c")).agg(F.max(F.element_at("sketch", -1)).alias("h")).collect()}
-    bound, so_far = F.lit(None).cast("long"), None
-    for c in range(31):
-        if c in limits:
-            so_far = limits[c] if so_far is None else max(so_far, limits[c])
-        if so_far is not None:
-            bound = F.when(F.col("class") == c, F.lit(so_far)) if c == min(limits) else bound.when(F.col("class") == c, F.lit(so_far))
-    words = _normal_words(F.col(text_col))
-    keyed = docs.select(common.row_key(id_col, text_col).alias("row_key"), words.alias("w"))
-    keyed = keyed.withColumn("n", F.size("w")).withColumn("class", _size_class(F.col("n"))).withColumn("bound", bound)
-    probes = keyed.where(F.col("bound").isNotNull() & (F.col("n") >= size)).select("row_key", "n", "bound", F.explode(shingle_hashes(F.col("w"), size)).alias("h")).where(F.col("h") <= F.col("bound"))
+    bounds = [max((h for c, h in limits.items() if c <= at), default=None) for at in range(32)]
+    bounds = F.array(*[F.lit(h).cast("long") for h in bounds])
+
+    def sketched(w: Column) -> Column:
+        """The document's hashes up to its partition's bound, each with the word count; none if nothing fits."""
+        n = F.size(w)
+        below = lambda most: F.filter(_windows(w, size, F.xxhash64), lambda h: h <= most)
+        return F.transform(common.let(F.get(bounds, _size_class(n)), below), lambda h: F.struct(h.alias("h"), n.alias("n")))
+
+    # One expression over words that are cut once: a projection of its own would be merged and cut them again for each use.
+    keyed = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.explode(common.let(_normal_words(F.col(text_col)), sketched)).alias("p"))
+    probes = keyed.select("row_key", "p.h", "p.n")
     rows = per_item.agg(F.sum(F.size("sketch")).alias("s"), F.sum(F.length(F.array_join("grams", " "))).alias("b")).first()
     light = common.small_enough(rows.s or 0, _SKETCH_BYTES)
-    pairs = probes.select("row_key", "n", "h").join(F.broadcast(sketch) if light else sketch, "h").where(F.col("n") - (size - 1) >= F.col("needs"))
+    pairs = probes.join(F.broadcast(sketch) if light else sketch, "h").where(F.col("n") - (size - 1) >= F.col("needs"))
     pairs = common.written(pairs.groupBy("row_key", "item_key").agg(F.lit(1).alias("one")).select("row_key", "item_key"), "decontam-candidates")
     # Candidates of a document in one row, so that its text meets them once and is cut into shingles once.
     wanted = pairs.groupBy("row_key").agg(F.collect_list("item_key").alias("item_keys"))
