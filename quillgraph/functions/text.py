@@ -88,15 +88,21 @@ def normalized_table(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("|")), row(x)).otherwise(cell(x))), "\n")
 
 
-#: Captions name their figure or table and are no sentences about it (fixed patterns).
-_REFERENCE = r"(?i)\b(shows?|lists?|describes?|illustrates?|summarizes?|provides?|gives?|presents?|contains?|details?|defines?|is|are)\b"
+#: Verbs that make a sentence about a figure or table of what looks like its caption (fixed values).
+REFERENCE_VERBS = "shows|describes|lists|illustrates|presents|gives|provides|details|summarizes"
+CAPTION_WORDS = {"figure": "Figure", "table": "Table|表"}
 
 
 def is_caption(text: Column, kind: str) -> Column:
-    """Strict caption predicate for ``kind`` Figure or Table."""
-    head = rf"^\s*{kind}\s+[A-Z]?\d+([.-]\d+)*\s*[.:]?\s+\S"
-    after = F.regexp_replace(text, rf"^\s*{kind}\s+[A-Z]?\d+([.-]\d+)*", "")
-    return text.rlike(head) & ~after.rlike(r"^\s+" + _REFERENCE)
+    """Strict caption predicate for ``kind`` figure or table."""
+    head = rf"(?i)^({CAPTION_WORDS[kind]})\s*[A-Z]?\d+(?:[-.]\d+)?"
+    return text.rlike(head) & ~text.rlike(rf"{head}\s+(?:{REFERENCE_VERBS})\b")
+
+
+def base_caption(text: Column) -> Column:
+    """The caption's number: what continued tables share."""
+    head = F.regexp_extract(text, r"(?i)^(Table|表)\s*[A-Z]?\d+(?:[-.]\d+)?", 0)
+    return F.when(head != "", head).otherwise(text)
 
 
 def image_refs(text: Column) -> Column:
@@ -114,7 +120,7 @@ FILTER_WORDS = {"chat": ("high risk", "rejected", "content safety"), "embedding"
 def error_class(status: Column, error_type: Column, message: Column, provider: str = "chat") -> Column:
     """The class of a failed HTTP answer (H1)."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda words: F.greatest(*[F.contains(low, F.lit(w)) for w in words])
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
     kind = F.coalesce(error_type, F.lit(""))
     out = F.when(status.isin(401, 403), "authentication")
     if provider == "chat":

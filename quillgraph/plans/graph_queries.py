@@ -13,15 +13,15 @@ from quillgraph.session import table
 _G = f"WITH {fx.ENTITIES_SQL}, {fx.RELATIONS_SQL}"
 
 
-@query("entity_lookup", f"{_G} SELECT entity_type, name, confidence, verified FROM entities WHERE entity_type = 'Nation' AND name = 'FRANCE'")
+@query("entity_lookup", f"{_G} SELECT entity_type, name, confidence, verified FROM entities WHERE entity_type = 'Nation' AND name = 'NATION_7'")
 def entity_lookup(spark, sf_dir):
     e = fx.entities(spark, sf_dir)
-    return e.where((F.col("entity_type") == "Nation") & (F.col("name") == "FRANCE")).select("entity_type", "name", "confidence", "verified")
+    return e.where((F.col("entity_type") == "Nation") & (F.col("name") == "NATION_7")).select("entity_type", "name", "confidence", "verified")
 
 
-@query("entity_search", f"{_G} SELECT entity_type, name FROM entities WHERE contains(lower(name), 'an') AND entity_type IN ('Nation', 'Region')")
+@query("entity_search", f"{_G} SELECT entity_type, name FROM entities WHERE contains(lower(name), 'n_1') AND entity_type IN ('Nation', 'Region')")
 def entity_search(spark, sf_dir):
-    return g.find_entities(fx.entities(spark, sf_dir), "AN", ["Nation", "Region"]).select("entity_type", "name")
+    return g.find_entities(fx.entities(spark, sf_dir), "N_1", ["Nation", "Region"]).select("entity_type", "name")
 
 
 @query("entities_by_type", f"{_G} SELECT name, confidence FROM entities WHERE entity_type = 'Supplier'")
@@ -51,9 +51,9 @@ def neighbors_rel_filter(spark, sf_dir):
     return g.neighbors(fx.relations(spark, sf_dir), _nations(spark, sf_dir), "out", "HAS_SUPPLIER")
 
 
-@query("entity_relations", f"{_G} SELECT from_name, to_name, rel_type FROM relations WHERE from_name = 'GERMANY' UNION ALL SELECT from_name, to_name, rel_type FROM relations WHERE to_name = 'GERMANY'")
+@query("entity_relations", f"{_G} SELECT from_name, to_name, rel_type FROM relations WHERE from_name = 'NATION_8' UNION ALL SELECT from_name, to_name, rel_type FROM relations WHERE to_name = 'NATION_8'")
 def entity_relations(spark, sf_dir):
-    return g.get_relations(fx.relations(spark, sf_dir), "Nation", "GERMANY").select("from_name", "to_name", "rel_type")
+    return g.get_relations(fx.relations(spark, sf_dir), "Nation", "NATION_8").select("from_name", "to_name", "rel_type")
 
 
 def _subgraph_sql(depth: int, types: str | None = None) -> str:
