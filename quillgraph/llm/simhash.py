@@ -15,6 +15,12 @@ once: its planes are XORed and added to carry-save counters (ones, twos, fours .
 and blocks whose lanes have all passed the radius are left early.  Links are folded
 into a union-find inside the task; only spanning links leave it, never all pairs.
 
+``near_duplicates`` works at a stated radius of 64-bit fingerprints and is exact.
+``similar`` works at a stated shingle similarity: at 0.8, fingerprints of 64 bits lie
+some 10 bits apart, too far for exact tables, so fingerprints of 256 bits over
+distinct shingles are compared in tables of sampled bits, as many as find a pair at
+the very threshold with probability ``RECALL`` (pairs above it more often).
+
 Defined results: null text is empty; no words give fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle; rows that repeat share the
 fingerprint and so the component; a null id has no say in the smallest id, and a
@@ -23,6 +29,7 @@ component of null ids only has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -120,15 +127,18 @@ class _Union:
         self.root = root
 
 
-def _within(planes: np.ndarray, queries: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bit(fps: np.ndarray, p: int) -> np.ndarray:
+    return (fps[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)
+
+
+def _within(planes: list[np.ndarray], queries: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs (query q, lane block w): those with a lane inside the radius, and the lanes as a bit mask."""
     n_counters = radius.bit_length()
     counters = [np.zeros(len(q), np.uint64) for _ in range(n_counters)]
     over = np.zeros(len(q), np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    one = np.uint64(1)
-    for p in range(64):
-        carry = planes[p][w] ^ (np.uint64(0) - ((queries[q] >> np.uint64(p)) & one))
+    for p in range(len(planes)):
+        carry = planes[p][w] ^ (np.uint64(0) - _bit(queries, p)[q])
         for k in range(n_counters):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
@@ -162,7 +172,7 @@ def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union, offset
     block = first_block[run] + place // 64
     lane = (place % 64).astype(np.uint64)
     heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    planes = [np.bitwise_or.reduceat(((fps >> np.uint64(p)) & np.uint64(1)) << lane, heads) for p in range(64)]
+    planes = [np.bitwise_or.reduceat(_bit(fps, p) << lane, heads) for p in range(64 * fps.shape[1])]
     members = np.append(heads, n)
     width = np.diff(members).astype(np.uint64)
     valid = np.where(width >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (width % np.uint64(64))) - np.uint64(1))
@@ -194,21 +204,18 @@ def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union, offset
         at = stop
 
 
-def _link_large(fps: np.ndarray, rows: np.ndarray, mask: int, radius: int, union: _Union, split: int = SPLIT) -> None:
-    """A run above ``split``: part it by the bits that are left, in ``radius + 1`` ways, and compare inside the parts."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    ways = _blocks(free, radius + 1) if len(free) > 3 * (radius + 1) else [[]]
-    for bits in ways:
-        held = np.uint64(sum(1 << b for b in bits))
-        order = np.argsort(fps[rows] & held, kind="stable")
-        inner = rows[order]
-        key = fps[inner] & held
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(inner))
+def _link_large(fps: np.ndarray, rows: np.ndarray, ways, radius: int, union: _Union, split: int = SPLIT, depth: int = 0) -> None:
+    """A run above ``split``: part it by more bits in each of ``ways(depth)`` and compare inside the parts."""
+    for held in ways(depth):
+        part = fps[rows] & held
+        order = np.lexsort(part.T)
+        inner, part = rows[order], part[order]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]).any(axis=1)))), len(inner))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s < 2:
                 continue
-            if e - s > split and bits:
-                _link_large(fps, inner[s:e], mask | int(held), radius, union, split)
+            if e - s > split and ways(depth + 1):
+                _link_large(fps, inner[s:e], ways, radius, union, split, depth + 1)
                 continue
             local = _Union(e - s)
             link(fps[inner[s:e]], np.array([0]), radius, local)
@@ -216,31 +223,65 @@ def _link_large(fps: np.ndarray, rows: np.ndarray, mask: int, radius: int, union
             union.join(inner[s:e][joined], inner[s:e][local.root[joined]])
 
 
-def _compare(radius: int, masks: list[int], split: int):
-    """mapInArrow function over rows (t, key, fp) sorted by (t, key): spanning links (a, b)."""
+def _exact_ways(mask: int, radius: int):
+    """Ways to part a run whose bits under ``mask`` agree that lose no pair: blocks of the other bits, one more than may differ."""
+
+    def ways(depth: int) -> list[np.ndarray]:
+        free = [b for b in range(64) if not mask >> b & 1]
+        if depth or len(free) <= 3 * (radius + 1):
+            return []
+        return [np.array([sum(1 << b for b in bits)], np.uint64) for bits in _blocks(free, radius + 1)]
+
+    return lambda depth: ways(depth) or ([np.zeros(1, np.uint64)] if depth == 0 else [])
+
+
+def _sampled_ways(bits: int):
+    """Ways to part a run by 6 more sampled bits each; pairs at the threshold part in all of them once in some hundred."""
+
+    def ways(depth: int) -> list[np.ndarray]:
+        if depth > 6:
+            return []
+        rng = np.random.default_rng(1000 + depth)
+        return [_words_of_bits(rng.choice(bits, 6, replace=False), bits) for _ in range(12)]
+
+    return ways
+
+
+def _words_of_bits(chosen, bits: int) -> np.ndarray:
+    out = [0] * (bits // 64)
+    for b in chosen:
+        out[int(b) >> 6] |= 1 << (int(b) & 63)
+    return np.array(out, np.uint64)
 
-    def links(t: np.ndarray, key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+
+def _compare(radius: int, ways_of, split: int, own_ids: bool):
+    """mapInArrow function over rows (t, key, [node,] fp words) sorted by (t, key): spanning links (a, b) of nodes.
+
+    Without nodes of their own, rows are named by their first fingerprint word.
+    """
+
+    def links(columns: list[np.ndarray]) -> pa.RecordBatch:
+        t, key, nodes = columns[:3]
+        fps = np.stack(columns[3 if own_ids else 2 :], axis=1).astype(np.uint64)
         heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
         sizes = np.diff(np.append(heads, len(fps)))
         union = _Union(len(fps))
         for h, s in zip(heads[sizes > split], sizes[sizes > split], strict=True):
-            _link_large(fps, np.arange(h, h + s), masks[t[h]] % (1 << 64), radius, union, split)
-        small = np.repeat((sizes >= 2) & (sizes <= split), sizes)
-        rows = np.flatnonzero(small)
+            _link_large(fps, np.arange(h, h + s), ways_of(int(t[h])), radius, union, split)
+        kept = (sizes >= 2) & (sizes <= split)
+        rows = np.flatnonzero(np.repeat(kept, sizes))
         if len(rows):
-            kept = (sizes >= 2) & (sizes <= split)
             local = _Union(len(rows))
             link(fps[rows], np.concatenate(([0], np.cumsum(sizes[kept])[:-1])).astype(np.int64), radius, local)
             joined = np.flatnonzero(local.root != np.arange(len(rows)))
             union.join(rows[joined], rows[local.root[joined]])
         out = np.flatnonzero(union.root != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[out].astype(np.int64)), pa.array(fps[union.root[out]].astype(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[union.root[out]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [np.asarray(batch.column(i)) for i in range(3)]
-            now[2] = now[2].astype(np.uint64)
+            now = [np.asarray(c) for c in batch.columns]
             if not len(now[0]):
                 continue
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
@@ -248,10 +289,10 @@ def _compare(radius: int, masks: list[int], split: int):
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
             cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0
             if cut:
-                yield links(*(x[:cut] for x in held))
+                yield links([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None:
-            yield links(*held)
+            yield links(held)
 
     return run
 
@@ -261,7 +302,7 @@ def linked(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) ->
     masks = tables(radius)
     keyed = distinct_fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
     dealt = keyed.select(F.col("t").cast("int").alias("t"), "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
-    return dealt.mapInArrow(_compare(radius, masks, split), "a long, b long")
+    return dealt.mapInArrow(_compare(radius, lambda t: _exact_ways(masks[t] % (1 << 64), radius), split, False), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,6 +316,97 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- similarity of shingle sets -------------------------------------------------------
+
+WIDE = 256
+RECALL = 0.97
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+
+
+def wide_fingerprint(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The SimHash of a text's distinct shingles as four unsigned words; no words give zero."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(WIDE // 64, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(found) - words + 1)
+    stops = ends[words - 1 :] if len(found) >= words else ends[-1:]
+    pieces = {joined[a:b] for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)}
+    data = b"".join([xxhash.xxh3_128_digest(x, 42) + xxhash.xxh3_128_digest(x, 43) for x in pieces])
+    hashes = np.frombuffer(data, np.uint8).reshape(-1, WIDE // 8)
+    counts = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 12):
+        counts += np.unpackbits(hashes[i : i + (1 << 12)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def similar_radius(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
+    """Bits in which fingerprints of sets of this Jaccard similarity differ, with 1.8 standard deviations.
+
+    Sets of Jaccard J have a cosine of at least 2 J / (1 + J), and each bit differs
+    with probability arccos(cosine) / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + 1.8 * math.sqrt(bits * p * (1 - p)))
+
+
+def sampled_tables(n: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = WIDE, seed: int = 9) -> list[list[int]]:
+    """Bit samples of the tables for n fingerprints.
+
+    Samples have about log2(n) bits, so that unlike fingerprints seldom meet at any
+    size of the input; as many tables as find a pair at the threshold with the recall.
+    """
+    p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    k = min(60, max(8, math.ceil(math.log2(max(2, n))) - 2))
+    tables_needed = math.ceil(math.log(1 - recall) / math.log(1 - p**k))
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(bits, k, replace=False).tolist()) for _ in range(tables_needed)]
+
+
+def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, split: int = SPLIT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key, id, first_id, first_key): each row and the first row of its group of similar texts, by id and row key.
+
+    A null id comes after all others.  Rows with equal id and text share a row key.
+    """
+    names = [f"f{i}" for i in range(WIDE // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).reshape(-1, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(prints[:, i]) for i in range(len(names)))], names=["row_key", "id", *names])
+
+    picked = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
+    prints = common.written(picked.mapInArrow(run, "row_key long, id long, " + ", ".join(f"{n} long" for n in names)), "similar-fps")
+    firsts = common.written(prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first")).select("first", F.col("first.row_key").alias("node"), *names), "similar-distinct")
+    samples = sampled_tables(firsts.count(), similarity)
+    masks = [_words_of_bits(s, WIDE).astype(np.int64).tolist() for s in samples]
+    keys = F.array(*[F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, mask, strict=True) if m]) for mask in masks])
+    dealt = firsts.select("node", *names, F.posexplode(keys).alias("t", "key")).select("t", "key", "node", *names).repartition("t", "key").sortWithinPartitions("t", "key")
+    links = dealt.mapInArrow(_compare(similar_radius(similarity), lambda t: _sampled_ways(WIDE), split, True), "a long, b long")
+    labelled = firsts.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
+    classes = common.written(labelled.join(heads, "label").select(*names, F.col("head.id").alias("first_id"), F.col("head.row_key").alias("first_key")), "similar-classes")
+    return prints.join(classes, names).select("row_key", "id", "first_id", "first_key")
+
+
+def representatives(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: that with the smallest id.  Of rows that repeat, one stays."""
+    groups = common.written(similar(docs, words, similarity, id_col=id_col, text_col=text_col).select("row_key", "first_key"), "similar-groups")
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    gone = groups.where("row_key <> first_key").select(F.col("row_key").alias(name)).distinct()
+    gone = common.written(gone, "similar-gone")
+    if common.small_enough(gone.count(), 16):
+        gone = F.broadcast(gone)
+    kept = docs.withColumn(name, common.row_key(id_col, text_col)).join(gone, name, "left_anti")
+    twice = groups.groupBy("row_key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([name]) if twice else kept).drop(name)
+
+
 def rendered(fp) -> object:
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
