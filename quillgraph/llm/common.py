@@ -8,6 +8,7 @@ pass the same rows.  The folders go when the driver ends, or on ``clean_up``.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -93,6 +94,26 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+#: Arrow batches of texts: bytes and rows at most.  JVM and Python each hold a few of them a task.
+ARROW_BYTES, ARROW_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small, unless it has smaller ones; with Spark's 64 MB a task needs some hundred MB outside the heap."""
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def _bytes(setting: str) -> int:
+    number = re.match(r"-?\d+", setting)
+    unit = {"k": 10, "m": 20, "g": 30}.get(setting.lower().rstrip("b")[-1:], 0)
+    value = int(number[0]) << unit if number else 0
+    return value if value > 0 else 1 << 62
+
+
 def small_enough(rows: int, bytes_a_row: int) -> bool:
     """Whether a table of counted rows may be broadcast."""
     return rows * bytes_a_row <= BROADCAST_BYTES

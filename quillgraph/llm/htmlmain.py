@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm import common
+
 #: Frequent function words of the languages served (fixed values).
 STOP_WORDS = {
     "en": "a about all also an and any are as at be been but by can do for from had has have he her his how i if in into is it its more my no not of on one or our out she so some than that the their them then there these they this to up was we were what when which who will with would you your",
@@ -252,6 +254,7 @@ def plain_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """All columns of ``pages`` but the HTML, and the main text."""
+    common.bound_batches(pages.sparkSession)
     others = [c for c in pages.columns if c != html_col]
     schema = pages.select(*others, F.lit("").alias(text_col)).schema
 

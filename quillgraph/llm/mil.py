@@ -36,7 +36,7 @@ TRAIN_DOCS = 3000
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 160, 0.03, 1e-4
 THRESHOLD = 0.3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE, _LOWER, _UPPER, _DIGIT, _PUNCT, _SYMBOL, _WIDE = range(7)
 
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, *, id_
     the parameter.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(2 * train_docs)
     wanted = spark.createDataFrame(wanted.toArrow()) if labels.columns else wanted
@@ -219,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, *, id_
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score, 0 to 1."""
+    common.bound_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema

@@ -97,6 +97,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             found = np.array([text_stats(t.as_py()) for t in batch.column(3)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i]) for i in range(len(names)))], names=["doc_id", "lang", "source", *names])
 
+    common.bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     out = picked.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words")))

@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, *, id_col: str = "doc_id
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
+    common.bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id long, fp long")
 
@@ -378,6 +379,7 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
             prints = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).reshape(-1, len(names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(prints[:, i]) for i in range(len(names)))], names=["row_key", "id", *names])
 
+    common.bound_batches(docs.sparkSession)
     picked = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
     prints = common.written(picked.mapInArrow(run, "row_key long, id long, " + ", ".join(f"{n} long" for n in names)), "similar-fps")
     firsts = common.written(prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first")).select("first", F.col("first.row_key").alias("node"), *names), "similar-distinct")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm import common
+
 #: Default vocabulary: a byte-level BPE of 50,256 ranks; the path is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_VOCABULARY = 8 << 20
@@ -50,6 +52,7 @@ def load_vocabulary(path: str = VOCABULARY) -> bytes:
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, *, text_col: str = "text", length_col: str = "n_tokens") -> DataFrame:
     """All columns but the text, and the text's encoded length."""
+    common.bound_batches(docs.sparkSession)
     blob = load_vocabulary(vocabulary)
     others = [c for c in docs.columns if c != text_col]
     schema = docs.select(*others, F.lit(0).cast("long").alias(length_col)).schema

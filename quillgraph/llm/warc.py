@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm import common
 from quillgraph.llm.htmlmain import plain_text
 
 #: Stated crawl time of records that are built from a page table.
@@ -80,6 +81,7 @@ def responses(pages: DataFrame, date: str = DATE, *, key_col: str = "page_id", u
                 rows.append({"key": key} | _row(record_id=record_id("response", str(key), url or "", date), record_type="response", target_uri=url, date=date, content_type="application/http; msgtype=response", source_headers=[], block_digest=digest(block), payload_digest=digest(body), block=block))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    common.bound_batches(pages.sparkSession)
     picked = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return picked.mapInArrow(run, f"key long, {SCHEMA}")
 
