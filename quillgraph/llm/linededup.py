@@ -73,7 +73,7 @@ class LineRuns:
 
 def _bounds(ids: DataFrame, batches: int) -> list[int]:
     """Rising ids that part the documents into batches of about equal count; the result does not depend on them."""
-    cuts = ids.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.02)
+    cuts = ids.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
     return sorted({int(x) for x in cuts})
 
 
