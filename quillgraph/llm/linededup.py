@@ -2,8 +2,8 @@
 
 Documents come in batches of rising id.  A batch's line hashes are joined with the
 runs, which hold every key of earlier batches; lines found there are dropped, and
-inside the batch only the smallest id keeps a key.  The batch's new keys, those in
-no run, become a run of level 0.  Once a level has ``fanout`` runs, they are merged
+inside the batch only the smallest id keeps a key.  The batch's keys are written in
+order, and those that are in no run are a run of level 0.  Once a level has ``fanout`` runs, they are merged
 into one run of the next level, so a key is rewritten a logarithmic number of times
 and a lookup meets few runs.  Keys are 128 bits wide.  Runs are Parquet folders in
 the shared folder, each sorted by key inside its hash partitions.
@@ -43,9 +43,6 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, keys: DataFrame, name: str) -> DataFrame:
-        return common.written(keys.sortWithinPartitions("h1", "h2"), name)
-
     def seen(self) -> DataFrame | None:
         """All keys of all runs; runs are disjoint, so this needs no distinct."""
         out = None
@@ -53,9 +50,8 @@ class LineRuns:
             out = run if out is None else out.unionByName(run)
         return out
 
-    def add(self, new_keys: DataFrame) -> None:
-        """Add a run of keys that no run holds, and compact full levels."""
-        run = self._write(new_keys, "line-run-0")
+    def add(self, run: DataFrame) -> None:
+        """Add a run of keys that no run holds, a selection of a written table, and compact full levels."""
         depth = 0
         while True:
             if depth == len(self.levels):
@@ -68,7 +64,7 @@ class LineRuns:
                 merged = merged.unionByName(other)
             self.levels[depth] = []
             depth += 1
-            run = self._write(merged.repartition("h1", "h2"), f"line-run-{depth}")
+            run = common.written(merged.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), f"line-run-{depth}")
 
 
 def _bounds(ids: DataFrame, batches: int) -> list[int]:
@@ -85,7 +81,7 @@ def mark_batch(lines: DataFrame, runs: LineRuns) -> DataFrame:
         keys = keys.withColumn("old", F.lit(False))
     else:
         keys = keys.join(seen.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-    keys = common.written(keys, "line-keys")
+    keys = common.written(keys.sortWithinPartitions("h1", "h2"), "line-run-0")
     runs.add(keys.where(~F.col("old")).select("h1", "h2"))
     # A key can be dropped somewhere only if an earlier batch has it or a second document holds it.
     return lines.join(keys, ["h1", "h2"]).where(F.col("old") | (F.col("id") > F.col("first_id"))).select("id", "text_key", "pos")
@@ -110,14 +106,14 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, batches: int = BAT
     for b in range(len(bounds) + 1):
         part = lines.where(F.col("batch") == b).drop("batch")
         part = mark_batch(part, runs).groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone"))
-        part = common.written(part, "line-drops")
         drops = part if drops is None else drops.unionByName(part)
     # Repeated rows of one id and text have one row of drops; an id lies in one batch.
     taken = set(docs.columns)
     id_k, text_k, gone_k = (next(n for n in (f"{x}_{i}" if i else x for i in range(len(taken) + 1)) if n not in taken) for x in ("__id", "__text_key", "__gone"))
     drops = drops.select(F.col("id").alias(id_k), F.col("text_key").alias(text_k), F.col("gone").alias(gone_k))
     keyed = docs.withColumns({id_k: F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long"), text_k: F.xxhash64(common.text_of(text_col))})
-    joined = keyed.join(drops, [id_k, text_k], "left")
+    # Always a merge join, so that a plan over few drops is that over many.
+    joined = keyed.join(drops.hint("merge"), [id_k, text_k], "left")
     split = F.split(common.text_of(text_col), "\n", -1)
     gone = F.col(gone_k)
     kept = F.when(gone.isNull(), common.text_of(text_col)).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(gone, i)), "\n"))
