@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 
-def _edges(df: DataFrame, name: str) -> DataFrame:
-    out = df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return common.written(out, name)
+def _edges(df: DataFrame) -> DataFrame:
+    return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,9 +37,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Stops once a round changes nothing, by row count and sums of the edges' hashes.
     Loops and repeated edges are allowed; an empty list gives an empty result.
     """
-    now, state = _edges(edges, "cc-edges"), None
+    now, state = common.written(_edges(edges), "cc-edges"), None
     for _ in range(most_rounds):
-        now = _edges(_small_star(_edges(_large_star(now), "cc-large")), "cc-small")
+        now = common.written(_edges(_small_star(_edges(_large_star(now)))), "cc-round")
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen.n == 0 or state == (seen.n, seen.x):
             break

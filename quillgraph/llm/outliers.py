@@ -193,7 +193,6 @@ def _concentrate(rows: DataFrame, models: DataFrame, share: float) -> DataFrame:
     values = [F.col(x) for x in FEATURES] + [F.col(FEATURES[i]) * F.col(FEATURES[j]) for i, j in _PAIRS]
     bins = F.floor(F.log1p(_distance()) * _BINS).cast("int").alias("bin")
     moments = _meet(rows, models).groupBy(*_GROUP, bins).agg(F.count("*").cast("double").alias("n"), *[F.sum(v).alias(s) for v, s in zip(values, sums, strict=True)])
-    moments = common.written(moments, "mcd-moments")
     # A bin stays if the bins below it do not cover the share yet.
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*_GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     dense = moments.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy(*_GROUP))).where(F.col("below") < share * F.col("all"))
