@@ -90,13 +90,16 @@ def normalized_table(text: Column) -> Column:
 
 #: Verbs that make a sentence about a figure or table of what looks like its caption (fixed values).
 REFERENCE_VERBS = "shows|describes|lists|illustrates|presents|gives|provides|details|summarizes"
-CAPTION_WORDS = {"figure": "Figure", "table": "Table|表"}
+#: What a caption starts with: a word, a number, and a title (fixed patterns).
+CAPTION_PATTERNS = {
+    "figure": r"^Figure\s+[A-Z]?\d+(?:[-.]\d+)?(?:[:.]\s*\S|\s+[A-Z]\S*)",
+    "table": r"^(Table|表)\s*[A-Z]?\d+(?:[-.]\d+)?(?:[:.]\s*\S|\s+[A-Z]\S*)",
+}
 
 
 def is_caption(text: Column, kind: str) -> Column:
-    """Strict caption predicate for ``kind`` figure or table."""
-    head = rf"(?i)^({CAPTION_WORDS[kind]})\s*[A-Z]?\d+(?:[-.]\d+)?"
-    return text.rlike(head) & ~text.rlike(rf"{head}\s+(?:{REFERENCE_VERBS})\b")
+    """Strict caption predicate for ``kind`` figure or table: no sentence about it."""
+    return text.rlike(CAPTION_PATTERNS[kind]) & ~text.rlike(rf"(?i)^(Figure|Table|表)\s*[A-Z]?\d+(?:[-.]\d+)?\s+(?:{REFERENCE_VERBS})\b")
 
 
 def base_caption(text: Column) -> Column:

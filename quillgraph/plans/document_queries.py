@@ -261,9 +261,9 @@ def doc_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.doc_context(F.col("source"), product).alias("context"))
 
 
-@query("caption_filter", "SELECT * FROM (VALUES ('Table B1.3: Title', 'table', true), ('Table B1.3 shows it', 'table', false), ('表 2-1 名', 'table', true), ('Figure 3 Block', 'figure', true), ('Figure 3 illustrates it', 'figure', false), ('see Figure 3', 'figure', false)) t(text, kind, caption)")
+@query("caption_filter", "SELECT * FROM (VALUES ('Table B1.3: Title', 'table', true), ('Table B1.3 shows it', 'table', false), ('表 2-1: 名', 'table', true), ('Table 5', 'table', false), ('Figure 3 Block', 'figure', true), ('Figure 3 illustrates it', 'figure', false), ('see Figure 3', 'figure', false)) t(text, kind, caption)")
 def caption_filter(spark, sf_dir):
-    rows = [("Table B1.3: Title", "table"), ("Table B1.3 shows it", "table"), ("表 2-1 名", "table"), ("Figure 3 Block", "figure"), ("Figure 3 illustrates it", "figure"), ("see Figure 3", "figure")]
+    rows = [("Table B1.3: Title", "table"), ("Table B1.3 shows it", "table"), ("表 2-1: 名", "table"), ("Table 5", "table"), ("Figure 3 Block", "figure"), ("Figure 3 illustrates it", "figure"), ("see Figure 3", "figure")]
     t = spark.createDataFrame(rows, "text string, kind string")
     return t.withColumn("caption", F.when(F.col("kind") == "table", tx.is_caption(F.col("text"), "table")).otherwise(tx.is_caption(F.col("text"), "figure")))
 
@@ -440,7 +440,28 @@ def page_markdown(spark, sf_dir):
     return ly.page_markdown(_page_elements(spark, sf_dir)).select("page", "text")
 
 
-@query("body_text_blocks", "SELECT doc_id, n_chars % 600 / 612.0 > 0.52 AND n_chars % 50 > 8 AND length(left(text, 60)) > 45 AND n_chars % 50 <= 396 AS body FROM documents")
+@query("body_text_blocks", "SELECT doc_id, n_chars % 600 / 612.0 > 0.52 AND n_chars % 50 > 8 AND length(left(text, 60)) > 45 AND n_chars % 50 <= 277.2 AND NOT (n_chars % 600 / 612.0 > 0.85 AND n_chars % 50 > 80) AS body FROM documents")
 def body_text_blocks(spark, sf_dir):
     c = F.col("n_chars")
     return table(spark, sf_dir, "documents").select("doc_id", ly.is_body_text(F.left("text", F.lit(60)), c % 600, c % 50, F.lit(612.0), F.lit(792.0)).alias("body"))
+
+
+@query("text_block_classes", "SELECT * FROM (VALUES (1, 'figure_caption'), (2, 'callout'), (3, 'callout'), (4, 'heading'), (5, 'body_text'), (6, 'other'), (7, 'heading')) t(n, category)")
+def text_block_classes(spark, sf_dir):
+    """Literal fixture: a caption, a label near it, one near the label, headings by size and by contents, text, a far label."""
+    long = "running text that goes on for more than forty-five characters in a line"
+    rows = [(1, 50.0, 100.0, 300.0, 112.0, "Figure 3. Block diagram", 10.0), (2, 60.0, 330.0, 90.0, 338.0, "A. input", 8.0), (3, 60.0, 380.0, 90.0, 388.0, "clock", 8.0), (4, 50.0, 600.0, 400.0, 616.0, "Chapter", 16.0), (5, 50.0, 630.0, 560.0, 660.0, long, 10.0), (6, 50.0, 720.0, 90.0, 728.0, "7", 12.5), (7, 50.0, 745.0, 90.0, 753.0, "2.1", 10.0)]
+    blocks = spark.createDataFrame([("d", 1, *r, 612.0, 792.0) for r in rows], "doc_id string, page int, n int, x0 double, y0 double, x1 double, y1 double, text string, font_size double, page_width double, page_height double")
+    toc = spark.createDataFrame([("d", 1, "2.1 Setup")], "doc_id string, page int, title string")
+    return ly.classify_blocks(blocks, toc).select("n", "category")
+
+
+@query("borderless_tables", "SELECT '| Group | Item | Use |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| G1 | a | one |' || chr(10) || '| G1 | b | two |' || chr(10) || '| G2 | c | three |' AS t")
+def borderless_tables(spark, sf_dir):
+    """Literal fixture: full lines part groups, a short line parts the items of one group."""
+    line = lambda y, x: ("d", 1, 1, "line", x, y, 500.0, y, "")
+    word = lambda x, y, t: ("d", 1, 1, "word", x, y, x + 30.0, y + 8.0, t)
+    rows = [line(100.0, 50.0), line(120.0, 50.0), line(140.0, 150.0), line(160.0, 50.0), line(180.0, 50.0)]
+    rows += [word(60.0, 106.0, "Group"), word(160.0, 106.0, "Item"), word(260.0, 106.0, "Use"), word(60.0, 136.0, "G1"), word(160.0, 126.0, "a"), word(260.0, 126.0, "one"), word(160.0, 146.0, "b"), word(260.0, 146.0, "two"), word(60.0, 166.0, "G2"), word(160.0, 166.0, "c"), word(260.0, 166.0, "three")]
+    elements = spark.createDataFrame([(*r, 400.0) for r in rows], "doc_id string, page int, region int, kind string, x0 double, y0 double, x1 double, y1 double, text string, bottom double")
+    return ly.borderless_tables(elements).select(F.col("table").alias("t"))
