@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, *, id_
     spark = docs.sparkSession
     common.bound_batches(spark)
     wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(2 * train_docs)
-    wanted = spark.createDataFrame(wanted.toArrow()) if labels.columns else wanted
+    # The list is drawn once: its bound holds for what is broadcast, and every task sees the same.
+    wanted = spark.createDataFrame(wanted.orderBy(F.xxhash64("id"), "id").limit(2 * train_docs).toArrow())
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
