@@ -306,14 +306,24 @@ def linked(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) ->
     return dealt.mapInArrow(_compare(radius, lambda t: _exact_ways(masks[t] % (1 << 64), radius), split, False), "a long, b long")
 
 
+def _heads(labels: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, head, linked): the smallest ``first`` of each linked node's component.
+
+    The smallest values are written before they meet the nodes again, so a component
+    with very many nodes is a skewed join, which Spark can split, and not one task.
+    """
+    labels = labels.join(firsts, "node")
+    least = common.written(labels.groupBy("label").agg(F.min("first").alias("head")), "component-heads")
+    return labels.select("node", "label").join(least, "label").select("node", "head", F.lit(True).alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included."""
     prints = common.written(fingerprints(docs, words, id_col=id_col, text_col=text_col), "simhash-fps")
     firsts = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = components(linked(firsts.select("fp"), radius))
-    labelled = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = common.written(labelled.join(smallest, "label").select("fp", "component_id"), "simhash-classes")
+    heads = _heads(components(linked(firsts.select("fp"), radius)), firsts.select(F.col("fp").alias("node"), F.col("first_id").alias("first")))
+    component = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first_id"))
+    classes = common.written(firsts.join(heads.withColumnRenamed("node", "fp"), "fp", "left").select("fp", component.alias("component_id")), "simhash-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -388,9 +398,9 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
     keys = F.array(*[F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, mask, strict=True) if m]) for mask in masks])
     dealt = firsts.select("node", *names, F.posexplode(keys).alias("t", "key")).select("t", "key", "node", *names).repartition("t", "key").sortWithinPartitions("t", "key")
     links = dealt.mapInArrow(_compare(similar_radius(similarity), lambda t: _sampled_ways(WIDE), split, True), "a long, b long")
-    labelled = firsts.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    classes = common.written(labelled.join(heads, "label").select(*names, F.col("head.id").alias("first_id"), F.col("head.row_key").alias("first_key")), "similar-classes")
+    heads = _heads(components(links), firsts.select("node", "first"))
+    head = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first"))
+    classes = common.written(firsts.join(heads, "node", "left").select(*names, head["id"].alias("first_id"), head["row_key"].alias("first_key")), "similar-classes")
     return prints.join(classes, names).select("row_key", "id", "first_id", "first_key")
 
 
