@@ -316,3 +316,29 @@ def borderless_tables(elements: DataFrame) -> DataFrame:
 
     kinds = dict(elements.dtypes)
     return elements.groupBy(*PAGE, "region").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "region")) + ", table string").where("table is not null")
+
+
+def table_regions(found: DataFrame, least_height: float = 20.0, least_share: float = 0.3, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
+    """Detected tables that are large enough and do not overlap a better one of their zone by half.
+
+    ``found`` (page key, zone, table_id, x0, y0, x1, y1, n_rows, n_cols, page_width); the
+    better one is larger, ties by id.  A zone holds a few tables, which meet in a join.
+    """
+    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    good = found.where((F.col("y1") - F.col("y0") >= least_height) & (F.col("x1") - F.col("x0") >= least_share * F.col("page_width")) & (F.col("n_rows") >= least_rows) & (F.col("n_cols") >= least_cols))
+    other = good.select(*PAGE, "zone", *[F.col(c).alias(f"o_{c}") for c in ("table_id", "x0", "y0", "x1", "y1")])
+    overlap = F.greatest(F.lit(0.0), F.least("x1", "o_x1") - F.greatest("x0", "o_x0")) * F.greatest(F.lit(0.0), F.least("y1", "o_y1") - F.greatest("y0", "o_y0"))
+    better = (area("o_") > area("")) | (area("o_") == area("")) & (F.col("o_table_id") < F.col("table_id"))
+    beaten = good.join(other, [*PAGE, "zone"]).where((F.col("table_id") != F.col("o_table_id")) & better & (overlap > 0.5 * area(""))).select(*PAGE, "zone", "table_id")
+    return good.join(beaten, [*PAGE, "zone", "table_id"], "left_anti")
+
+
+def fallback_headings(blocks: DataFrame) -> DataFrame:
+    """Headings of documents without contents: fonts above the document's median, short texts; level by size.
+
+    ``blocks`` (doc_id, page, y0, text, font_size, bold).
+    """
+    mid = blocks.groupBy("doc_id").agg(F.percentile_approx("font_size", 0.5, 1000).alias("mid"))
+    rise = F.col("font_size") / F.col("mid")
+    level = F.when(rise >= 1.6, 1).when(rise >= 1.3, 2).when((rise >= 1.15) | (F.col("bold") & (rise >= 1.0)), 3)
+    return blocks.join(mid, "doc_id").withColumn("level", F.when(F.length("text") <= 120, level)).where("level is not null").drop("mid")

@@ -465,3 +465,43 @@ def borderless_tables(spark, sf_dir):
     rows += [word(60.0, 106.0, "Group"), word(160.0, 106.0, "Item"), word(260.0, 106.0, "Use"), word(60.0, 136.0, "G1"), word(160.0, 126.0, "a"), word(260.0, 126.0, "one"), word(160.0, 146.0, "b"), word(260.0, 146.0, "two"), word(60.0, 166.0, "G2"), word(160.0, 166.0, "c"), word(260.0, 166.0, "three")]
     elements = spark.createDataFrame([(*r, 400.0) for r in rows], "doc_id string, page int, region int, kind string, x0 double, y0 double, x1 double, y1 double, text string, bottom double")
     return ly.borderless_tables(elements).select(F.col("table").alias("t"))
+
+
+@query("table_regions", "SELECT * FROM (VALUES (1), (4)) t(table_id)")
+def table_regions(spark, sf_dir):
+    """Literal fixture: a table, one inside it, one too flat, one elsewhere."""
+    rows = [(1, 50.0, 100.0, 500.0, 300.0, 5), (2, 60.0, 110.0, 490.0, 290.0, 4), (3, 50.0, 310.0, 500.0, 320.0, 3), (4, 50.0, 400.0, 500.0, 500.0, 3)]
+    found = spark.createDataFrame([("d", 1, 1, *r, 3, 612.0) for r in rows], "doc_id string, page int, zone int, table_id int, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int, page_width double")
+    return ly.table_regions(found).select("table_id")
+
+
+@query("fallback_headings", "SELECT * FROM (VALUES ('Big', 1), ('Mid', 2), ('Bold', 3)) t(text, level)")
+def fallback_headings(spark, sf_dir):
+    rows = [("Big", 18.0, False), ("Mid", 13.5, False), ("Bold", 10.0, True), *[(f"text {i}", 10.0, False) for i in range(9)]]
+    return ly.fallback_headings(spark.createDataFrame([("d", 1, 0.0, *r) for r in rows], "doc_id string, page int, y0 double, text string, font_size double, bold boolean")).select("text", "level")
+
+
+@query("cluster_scores", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, (8 * l_discount + 4 * (1 - l_tax) + 2 * (l_linenumber % 2) - CASE WHEN l_returnflag = 'A' THEN 5 ELSE 0 END) * CASE WHEN l_quantity < 30 THEN 0.2 ELSE 0.6 END), 6) AS score FROM lineitem")
+def cluster_scores(spark, sf_dir):
+    c = F.col
+    score = ly.cluster_score(c("l_discount"), c("l_tax"), c("l_linenumber") % 2, c("l_quantity"), c("l_returnflag") == "A", F.lit(False))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score, 6).alias("score"))
+
+
+@query("low_content_images", "SELECT user_id AS image_id, max(n) > 0.25 * sum(n) AS low_content FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def low_content_images(spark, sf_dir):
+    pixels = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_type").alias("color"))
+    return ly.low_content(pixels, 0.25)
+
+
+@query("image_classes", "SELECT * FROM (VALUES (1, 'bw'), (2, 'gray'), (3, 'color')) t(image_id, kind)")
+def image_classes(spark, sf_dir):
+    rows = [(1, v, v, v) for v in (0, 255) * 20] + [(2, v, v, v) for v in range(100, 140)] + [(3, 250, 10, 10)] * 20 + [(3, 0, 0, 0)] * 20
+    return ex.image_class(spark.createDataFrame(rows, "image_id int, r int, g int, b int"))
+
+
+@query("chapters_nested", "SELECT n_nationkey AS doc_id, 'ch' || i AS title, i * 10 AS start_page FROM nation, (SELECT unnest(range(1, 4)) AS i)")
+def chapters_nested(spark, sf_dir):
+    """Contents as a nested array, read back as rows."""
+    entries = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")), lambda i: F.struct(F.concat(F.lit("ch"), i.cast("string")).alias("title"), (i * 10).alias("start_page")))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), entries.alias("chapters")).select("doc_id", F.inline("chapters"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.operators import extraction as ex
+from quillgraph.operators import retrieval as r
 from quillgraph.operators import status as st
 from quillgraph.plans import fixtures as fx
 from quillgraph.plans.registry import query
@@ -214,3 +215,59 @@ def usage_entity_hits(spark, sf_dir):
     name = F.concat(F.lit("m"), F.col("user_id").cast("string"))
     listed = F.array(e(F.lit("Module"), name), e(F.lit("Module"), name), e(F.when(F.col("event_id") % 3 == 0, "").otherwise("Signal"), F.lit("s")))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array_join(st.entity_hits(listed), ",").alias("hits"))
+
+
+@query("relation_feedback", "SELECT l_suppkey, l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS BIGINT) AS score FROM lineitem GROUP BY l_suppkey, l_partkey")
+def relation_feedback(spark, sf_dir):
+    """Sum of ratings of each relation, by its two ends and type."""
+    rated = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("rating"))
+    return rated.groupBy("l_suppkey", "l_partkey").agg(F.sum("rating").alias("score"))
+
+
+@query("embedded_batch", "SELECT d.doc_id, CASE WHEN e.vec_id IS NULL THEN 'pending' ELSE 'embedded' END AS status, coalesce(len(e.embedding), 0) AS dims FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def embedded_batch(spark, sf_dir):
+    """Blocks with the vectors of a batch: those that have one are embedded."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    out = fx.blocks(spark, sf_dir).join(v, "id", "left")
+    return out.select("doc_id", F.when(F.col("embedding").isNull(), "pending").otherwise("embedded").alias("status"), F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dims"))
+
+
+@query("delete_doc_blocks", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_doc_blocks(spark, sf_dir):
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return fx.blocks(spark, sf_dir).join(gone, "doc_id", "left_anti").select("doc_id")
+
+
+@query("blocks_of_document", f"WITH {_BLOCKS} SELECT doc_id, string_agg(CAST(seq_index AS VARCHAR), ',' ORDER BY seq_index) AS seqs FROM blocks GROUP BY doc_id")
+def blocks_of_document(spark, sf_dir):
+    """Every document's blocks in order."""
+    seqs = F.array_sort(F.collect_list("seq_index"))
+    return _blocks(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(seqs, lambda x: x.cast("string")), ",").alias("seqs"))
+
+
+@query("eval_dataset", "SELECT item_id, text AS question, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS truth FROM (SELECT b.item_id, b.text, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY item_id, text")
+def eval_dataset(spark, sf_dir):
+    """Questions with the documents that answer them."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    truth = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
+    met = r.containing(table(spark, sf_dir, "documents"), items).groupBy("qid").agg(truth.alias("truth"))
+    return met.join(items, "qid").select(F.col("qid").alias("item_id"), "question", "truth")
+
+
+@query("usage_vector_hits", "SELECT session_id, string_agg(DISTINCT CAST(block_id AS VARCHAR), ',' ORDER BY CAST(block_id AS VARCHAR)) AS hits FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS block_id FROM events) WHERE block_id IS NOT NULL GROUP BY session_id")
+def usage_vector_hits(spark, sf_dir):
+    """Blocks that each session hit."""
+    hits = F.array_join(F.array_sort(F.collect_set(F.col("block_id").cast("string"))), ",")
+    return fx.usage_logs(spark, sf_dir).where("block_id is not null").groupBy("session_id").agg(hits.alias("hits"))
+
+
+@query("graph_status", f"WITH {fx.ENTITIES_SQL}, {fx.RELATIONS_SQL} SELECT (SELECT count(*) FROM entities) AS nodes, (SELECT count(*) FROM relations) AS edges, (SELECT count(*) FILTER (verified) FROM entities) AS verified, (SELECT count(*) FILTER (confidence < 0.5) FROM entities) AS low_confidence, (SELECT count(*) FILTER (src IS NULL) FROM entities) AS without_source, (SELECT count(*) FROM entities WHERE entity_type = 'Document') AS orphans")
+def graph_status(spark, sf_dir):
+    """All counts of the graph in one row."""
+    from quillgraph.operators import graph as g
+
+    e, rel = fx.entities(spark, sf_dir), fx.relations(spark, sf_dir)
+    out = g.stats(e, rel)
+    for part in (g.verified_stats(e).select("verified"), g.low_confidence(e), g.source_gaps(e), g.orphans(e, rel).agg(F.count("*").alias("orphans"))):
+        out = out.join(part, F.lit(True))
+    return out

@@ -39,6 +39,7 @@ TABLES = {
     "stages": "doc_id string, stage string, status string, error_message string, updated_at timestamp",
 }
 SEARCH_MODES = ("semantic", "keyword", "hybrid", "rerank")
+SCOPES = ("documents", "documents_by_status", "vectors", "graph", "entity_types", "relation_types", "blocks", "blocks_by_doc", "headings", "conflicts", "feedback", "quality", "ingest_pipeline", "pipeline", "trace", "usage")
 EXPLORE_MODES = ("entity", "neighbors", "subgraph", "path", "provenance", "conflicts")
 
 
@@ -298,6 +299,10 @@ class KnowledgeBase:
             raise ValueError(f"scope must be one of {', '.join(scopes)}")
         return scopes[scope]()
 
+    def status_all(self, top_n: int = 20) -> dict[str, DataFrame]:
+        """Every scope's table, lazily."""
+        return {scope: self.status(scope, top_n) for scope in SCOPES}
+
     def _issues(self) -> DataFrame:
         t = self.table
         parts = [

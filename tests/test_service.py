@@ -62,8 +62,8 @@ def test_graph_verbs(spark, kb):
 
 
 def test_every_scope_answers(kb):
-    for scope in ("documents", "documents_by_status", "vectors", "graph", "entity_types", "relation_types", "blocks", "blocks_by_doc", "headings", "conflicts", "feedback", "quality", "ingest_pipeline", "pipeline", "trace", "usage"):
-        kb.status(scope).collect()
+    for frame in kb.status_all().values():
+        frame.collect()
     with pytest.raises(ValueError):
         kb.status("nothing")
 
@@ -72,3 +72,39 @@ def test_removed_document(spark, kb):
     doc = kb.table("documents").where("source_path = 'a/other.md'").first().doc_id
     kb.remove_document(doc)
     assert kb.table("blocks").where(f"doc_id = '{doc}'").count() == 0 and kb.table("documents").count() == 1
+
+
+def test_server_speaks_json_rpc(kb):
+    import io
+    import json
+
+    from quillgraph.server import TOOLS, serve
+
+    lines = ['{"jsonrpc": "2.0", "id": 1, "method": "initialize"}', '{"jsonrpc": "2.0", "method": "notifications/initialized"}', "", "{bad", '{"jsonrpc": "2.0", "id": 2, "method": "tools/list"}', '{"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "status", "arguments": {"scope": "graph"}}}', '{"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "status", "arguments": {"scope": "none"}}}', '{"jsonrpc": "2.0", "id": 5, "method": "other"}']
+    out = io.StringIO()
+    serve(kb, lines, out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in got] == [1, None, 2, 3, 4, 5] and len(got[2]["result"]["tools"]) == len(TOOLS)
+    assert "nodes" in got[3]["result"]["content"][0]["text"] and got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601
+
+
+def test_office_files(spark):
+    import io
+    import zipfile
+
+    from quillgraph.sources.office import office_text
+
+    def packed(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return out.getvalue()
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    docx = packed(word__document=f"<w:document {w}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl></w:body></w:document>")
+    xlsx = packed(xl__sharedStrings=f"<sst {m}><si><t>name</t></si></sst>", xl__worksheets__sheet1=f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c><v>7</v></c></row></sheetData></worksheet>')
+    files = spark.createDataFrame([("x.docx", docx), ("y.xlsx", xlsx), ("z.docx", b"bad"), ("n.txt", b"")], "path string, content binary")
+    assert {r.path: r.text for r in office_text(files).collect()} == {"x.docx": "Hello\na | b", "y.xlsx": "name | 7", "z.docx": None, "n.txt": None}
