@@ -158,7 +158,8 @@ def _plain_edges(relations: DataFrame, rel_types: list[str] | None = None) -> Da
 def subgraph(entities: DataFrame, relations: DataFrame, centers: DataFrame, depth: int = 1, rel_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (qid, nid) within ``depth`` undirected steps of each center (qid, entity_type, name), and edges between them.
 
-    The type filter holds for the steps only.  One join a layer, each layer distinct.
+    The type filter holds for the steps only.  One join a layer, each layer distinct
+    and cached (to disk if need be), as later layers and the edges start from it.
     """
     start = centers.join(entities.select(*ENTITY_KEY), ENTITY_KEY, "left_semi")
     seen = start.select("qid", node_id("entity_type", "name").alias("nid")).distinct()
@@ -166,7 +167,7 @@ def subgraph(entities: DataFrame, relations: DataFrame, centers: DataFrame, dept
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     layer = seen
     for _ in range(depth):
-        layer = layer.join(both, F.col("nid") == F.col("src")).select("qid", F.col("dst").alias("nid")).distinct().join(seen, ["qid", "nid"], "left_anti")
+        layer = layer.join(both, F.col("nid") == F.col("src")).select("qid", F.col("dst").alias("nid")).distinct().join(seen, ["qid", "nid"], "left_anti").persist()
         seen = seen.unionByName(layer)
     every = relations.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst"), "rel_type")
     inside = every.join(seen.withColumnRenamed("nid", "src"), "src").join(seen.withColumnRenamed("nid", "dst"), ["qid", "dst"], "left_semi").select("qid", "src", "dst", "rel_type")
@@ -311,7 +312,8 @@ def context_of_hits(hits: DataFrame, bridge: DataFrame, entities: DataFrame, rel
     Entities of the blocks that the graph has, their neighbourhood to ``depth``, and
     every relation at an entity of a block; each once a query.
     """
-    direct = hits.join(bridge, hits["id"] == bridge["block_id"]).select("qid", *ENTITY_KEY).distinct().join(entities.select(*ENTITY_KEY), ENTITY_KEY, "left_semi")
+    # Few rows that several joins below start from; cached, so that the search behind the hits runs once.
+    direct = hits.join(bridge, hits["id"] == bridge["block_id"]).select("qid", *ENTITY_KEY).distinct().join(entities.select(*ENTITY_KEY), ENTITY_KEY, "left_semi").persist()
     nodes, inside = subgraph(entities, relations, direct, depth)
     plain = relations.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst"), "rel_type")
     mine = direct.select("qid", node_id("entity_type", "name").alias("nid"))
