@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.shipping import ship
+
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
 PROTECTED = (
     re.compile(r"```[\s\S]*?```|~~~[\s\S]*?~~~"),
@@ -163,6 +165,7 @@ def size_bins(sizes: list[int], most: int) -> list[int]:
 
 def chunked(docs: DataFrame, splitter: Callable[[str, int], list[str]], most: int, *, text_col: str = "text") -> DataFrame:
     """One row a piece: the other columns, ``seq`` from 0 and ``chunk``."""
+    ship(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     schema = docs.select(*others, F.lit(0).cast("long").alias("seq"), F.lit("").alias("chunk")).schema
 

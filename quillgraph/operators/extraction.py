@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.functions.text import repaired_json
+from quillgraph.shipping import ship
 
 
 def _known(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -113,6 +114,7 @@ def size_binned(requests: DataFrame, most_bytes: int = 100 << 20) -> DataFrame:
         frame = frame.sort_values("req_idx")
         return frame.assign(bin=size_bins(frame["bytes"].tolist(), most_bytes))[["file_id", "req_idx", "bin"]]
 
+    ship(requests.sparkSession)
     sizes = requests.select("file_id", F.col("req_idx").cast("long").alias("req_idx"), (F.octet_length("line") + 1).cast("long").alias("bytes"))
     return sizes.groupBy("file_id").applyInPandas(fold, f"file_id {dict(requests.dtypes)['file_id']}, req_idx long, bin long")
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.shipping import ship
+
 ENTITY_KEY = ["entity_type", "name"]
 RELATION_KEY = ["from_type", "from_name", "to_type", "to_name"]
 
@@ -75,6 +77,7 @@ def _merged_properties(versions: DataFrame, keys: list[str]) -> DataFrame:
     version of a key meets every property of the key; versions are few a key, and
     the fold streams, so a key with very many needs no memory but its documents'.
     """
+    ship(versions.sparkSession)
     scored = versions.select(*keys, F.col("merge_seq").cast("long").alias("seq"), F.coalesce(F.get("source_doc_ids", F.lit(0)), F.lit("")).alias("doc_id"), "properties", completeness(F.col("properties")).alias("score"))
     names = versions.select(*keys, F.explode(F.map_keys("properties")).alias("property_key")).distinct()
     events = scored.join(names, keys).select(*keys, "property_key", "seq", "doc_id", F.try_element_at("properties", F.col("property_key")).alias("value"), "score")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import is_caption
+from quillgraph.shipping import ship
 
 PAGE = ["doc_id", "page"]
 #: Which kind a merged separator shows (fixed order).
@@ -127,6 +128,7 @@ def drawing_clusters(drawings: DataFrame, reach: float = 10.0) -> DataFrame:
         page = page.sort_values(["y0", "x0", "y1", "x1"])
         return page.assign(cluster=_near_groups(page[["x0", "y0", "x1", "y1"]].to_numpy(float), reach).astype("int64"))
 
+    ship(drawings.sparkSession)
     picked = drawings.select(*PAGE, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     kinds = dict(picked.dtypes)
     return picked.groupBy(*PAGE).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in picked.columns) + ", cluster long")
@@ -167,6 +169,7 @@ def consistent_lines(lines: DataFrame, share: float = 0.8, tolerance: float = 3.
         enough = len(best) >= max(3, int(doc["n_pages"].iloc[0] * share))
         return pd.DataFrame({"doc_id": [doc["doc_id"].iloc[0]], "y": [sum(best) / len(best) if enough else 0.0]})
 
+    ship(lines.sparkSession)
     return lines.groupBy("doc_id").applyInPandas(one, f"doc_id {dict(lines.dtypes)['doc_id']}, y double")
 
 
@@ -314,6 +317,7 @@ def borderless_tables(elements: DataFrame) -> DataFrame:
         table = borderless_table(frame[frame["kind"] == "line"], frame[frame["kind"] == "word"], float(frame["bottom"].iloc[0]))
         return frame[[*PAGE, "region"]].head(1).assign(table=table)
 
+    ship(elements.sparkSession)
     kinds = dict(elements.dtypes)
     return elements.groupBy(*PAGE, "region").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "region")) + ", table string").where("table is not null")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking
+from quillgraph.shipping import ship
 
 _HEADING = re.compile(r"(#+) (.*)", re.S)
 #: Titles that are page numbers or dates (fixed patterns).
@@ -138,6 +139,7 @@ def _mapped(docs: DataFrame, rows_of, schema: str, fields: list[tuple[str, pa.Da
                 rows = [{"doc_id": d, **dict(zip([n for n, _ in fields], r, strict=True))} for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows_of(t or "")]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", part.column(0).type), *fields]))
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {schema}")
 

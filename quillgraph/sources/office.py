@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillgraph.shipping import ship
+
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -54,6 +56,8 @@ def xlsx_text(data: bytes) -> str:
 def office_text(files: DataFrame) -> DataFrame:
     """(path, text) of files (path, content) that end in .docx or .xlsx; what cannot be read has no text."""
 
+    ship(files.sparkSession)
+
     def one(path: str, data: bytes) -> str | None:
         reader = {"docx": docx_text, "xlsx": xlsx_text}.get(path.rsplit(".", 1)[-1].lower())
         try:
