@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.shipping import ship
+
 #: White space and words, as the data contracts define them (fixed values).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,7 +101,11 @@ ARROW_BYTES, ARROW_ROWS = 8 << 20, 2000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session small, unless it has smaller ones; with Spark's 64 MB a task needs some hundred MB outside the heap."""
+    """Before Python runs on executors: they get the package, and Arrow batches of this session stay small, unless it has smaller ones.
+
+    With Spark's 64 MB a batch, a task needs some hundred MB outside the heap.
+    """
+    ship(spark)
     if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))

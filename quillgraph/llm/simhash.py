@@ -300,6 +300,7 @@ def _compare(radius: int, ways_of, split: int, own_ids: bool):
 
 def linked(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """Spanning links (a, b) of different fingerprints (column fp) at ``radius`` or fewer differing bits."""
+    common.bound_batches(distinct_fps.sparkSession)
     masks = tables(radius)
     keyed = distinct_fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
     dealt = keyed.select(F.col("t").cast("int").alias("t"), "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")

@@ -123,6 +123,7 @@ def _derive(row: dict) -> list[dict]:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two derivatives of each response; other record types and other columns but ``key`` give none."""
+    common.bound_batches(records.sparkSession)
     key = ["key"] if "key" in records.columns else []
     schema = pa.schema([*((k, pa.int64()) for k in key), *_ARROW])
 
@@ -200,4 +201,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(_ARROW))
 
+    common.bound_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
