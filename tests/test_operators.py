@@ -1,6 +1,8 @@
 """Operators on small hand-written inputs."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking
@@ -175,6 +177,17 @@ def test_chunks_lose_nothing(spark):
     assert {d: squeezed("".join(x)) for d, x in got.groupby("doc_id")["chunk"]} == want and got["chunk"].str.len().max() <= 1000
 
 
+@settings(max_examples=200, deadline=None)
+@given(st_.lists(st_.sampled_from(["word ", "End. ", "\n\n", "\n", "```\n", "|a|b|\n", "<table>", "</table>", "x" * 30, "中。 "]), max_size=60), st_.integers(8, 80))
+def test_any_text_is_kept(parts, most):
+    text = "".join(parts)
+    squeezed = lambda s: "".join(s.split())
+    if not any(x in text for x in ("```", "|", "<table>")):  # fences and heads of tables are repeated by design
+        assert squeezed("".join(chunking.split_paragraphs(text, most))) == squeezed(text)
+    pieces = chunking.split_for_embedding(text, most)
+    assert pieces and all(len(p) <= most for p in pieces) or not text.strip() or any(x in text for x in ("```", "|", "<table>"))
+
+
 def test_size_bins():
     assert chunking.size_bins([5, 5, 5, 20, 1], 10) == [0, 0, 1, 2, 3]
     assert chunking.split_for_client("abc\n\ndef", 100) == ["abc\n\ndef"] and chunking.split_for_client("a" * 10, 4) == ["aaaa", "aaaa", "aa"]
