@@ -407,17 +407,18 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
 
 def representatives(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar texts: that with the smallest id.  Of rows that repeat, one stays."""
-    groups = common.written(similar(docs, words, similarity, id_col=id_col, text_col=text_col).select("row_key", "first_key"), "similar-groups")
     name = "__row_key"
     while name in docs.columns:
         name += "_"
-    gone = groups.where("row_key <> first_key").select(F.col("row_key").alias(name)).distinct()
-    gone = common.written(gone, "similar-gone")
+    groups = similar(docs, words, similarity, id_col=id_col, text_col=text_col)
+    marks = groups.groupBy(F.col("row_key").alias(name)).agg(F.bool_or(F.col("row_key") != F.col("first_key")).alias("gone"), F.count("*").alias("n"))
+    marks = common.written(marks.where("gone or n > 1"), "similar-marks")
+    gone = marks.where("gone").select(name)
     if common.small_enough(gone.count(), 16):
         gone = F.broadcast(gone)
     kept = docs.withColumn(name, common.row_key(id_col, text_col)).join(gone, name, "left_anti")
-    twice = groups.groupBy("row_key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates([name]) if twice else kept).drop(name)
+    repeats = marks.where("not gone").limit(1).count()
+    return (kept.dropDuplicates([name]) if repeats else kept).drop(name)
 
 
 def rendered(fp) -> object:
