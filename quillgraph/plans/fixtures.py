@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.session import table
+from quillgraph.session import spread, table
 
 _MAP = "map<string,string>"
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """content_blocks: one block a document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id"), F.lit("b_0").alias("block_id"), F.lit(0).alias("seq_index"), F.col("text").alias("content"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("id"), F.col("doc_id"), F.lit("b_0").alias("block_id"), F.lit(0).alias("seq_index"), F.col("text").alias("content"), "lang", "source")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
