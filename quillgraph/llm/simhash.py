@@ -16,10 +16,11 @@ and blocks whose lanes have all passed the radius are left early.  Links are fol
 into a union-find inside the task; only spanning links leave it, never all pairs.
 
 ``near_duplicates`` works at a stated radius of 64-bit fingerprints and is exact.
-``similar`` works at a stated shingle similarity: at 0.8, fingerprints of 64 bits lie
-some 10 bits apart, too far for exact tables, so fingerprints of 256 bits over
-distinct shingles are compared in tables of sampled bits, as many as find a pair at
-the very threshold with probability ``RECALL`` (pairs above it more often).
+``similar`` works at a stated Jaccard similarity of shingle sets.  Candidates share a
+band of MinHash values, each is verified on the whole sets, and only verified pairs
+link.  Stars inside few bands join large groups first; then every pair of texts that
+shares any band and is not joined yet is compared, so nothing hangs on a link that
+verification refused.
 
 Defined results: null text is empty; no words give fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle; rows that repeat share the
@@ -29,9 +30,8 @@ component of null ids only has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -330,76 +330,155 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
 
 # -- similarity of shingle sets -------------------------------------------------------
 
-WIDE = 256
-RECALL = 0.97
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
+#: Bands and the minima a band holds: a pair at 0.8 shares no band in 5 of a million cases, at any size of the input.
+BANDS, MINIMA = 40, 6
+#: The bands by which groups of copies are found before all pairs are listed.
+FIRST_BANDS = 3
 
 
-def wide_fingerprint(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """The SimHash of a text's distinct shingles as four unsigned words; no words give zero."""
+def shingle_set(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; no words give none."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return np.zeros(WIDE // 64, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     stops = ends[words - 1 :] if len(found) >= words else ends[-1:]
-    pieces = {joined[a:b] for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)}
-    data = b"".join([xxhash.xxh3_128_digest(x, 42) + xxhash.xxh3_128_digest(x, 43) for x in pieces])
-    hashes = np.frombuffer(data, np.uint8).reshape(-1, WIDE // 8)
-    counts = np.zeros(WIDE, np.int64)
-    for i in range(0, len(hashes), 1 << 12):
-        counts += np.unpackbits(hashes[i : i + (1 << 12)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
-
-
-def similar_radius(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
-    """Bits in which fingerprints of sets of this Jaccard similarity differ, with 1.8 standard deviations.
+    pieces = map(joined.__getitem__, map(slice, starts[:n].tolist(), stops.tolist()))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, n))
 
-    Sets of Jaccard J have a cosine of at least 2 J / (1 + J), and each bit differs
-    with probability arccos(cosine) / pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.8 * math.sqrt(bits * p * (1 - p)))
 
+def _permutations(seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    factors, shifts = rng.integers(0, 1 << 32, (2, BANDS * MINIMA), dtype=np.uint32)
+    return factors | np.uint32(1), shifts
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of a set's MinHash."""
+    factors, shifts = _permutations()
+    low = hashes.astype(np.uint32)
+    least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 256):
+        np.minimum(least, (low[i : i + 256, None] * factors + shifts).min(axis=0), out=least)
+    data = least.tobytes()
+    step = 4 * MINIMA
+    return np.array([xxhash.xxh3_64_intdigest(data[i : i + step]) for i in range(0, len(data), step)], np.uint64).astype(np.int64).tolist()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
+    """``pairs`` of each run of rows (t, key, ...) sorted by (t, key)."""
+    held: list[np.ndarray] | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            now = [np.asarray(c) for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        t, key = held[:2]
+        heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
+        # The last run may go on in the next batch.
+        ends = np.append(heads[1:], len(t)) if batch is None else heads[1:]
+        for start, end in zip(heads[: len(ends)].tolist(), ends.tolist(), strict=True):
+            if end - start > 1:
+                for a, b in pairs(*(x[start:end] for x in held[2:])):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = [x[len(t) if batch is None else heads[-1] :] for x in held]
+
+
+def _star_pairs(similarity: float):
+    """Each row of a run sorted by size with the first one that is large enough."""
+
+    def pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = 0
+        while at < len(nodes):
+            stop = int(np.searchsorted(sizes, sizes[at] / similarity + 1e-9, side="right"))
+            if stop - at > 1:
+                yield nodes[at + 1 : stop], np.full(stop - at - 1, nodes[at])
+            at = stop
+
+    return pairs
+
+
+def _cross_pairs(similarity: float):
+    """All pairs of a run that are not of one label and whose sizes allow the similarity."""
+
+    def pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, of, counts = np.unique(labels, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        # Rows of the largest label meet the others as partners only.
+        others = of != counts.argmax()
+        step = max(1, _TILE // len(nodes))
+        asking = np.flatnonzero(others)
+        for i in range(0, len(asking), step):
+            q = np.repeat(asking[i : i + step], len(nodes))
+            w = np.tile(np.arange(len(nodes)), len(q) // len(nodes))
+            small, large = np.minimum(sizes[q], sizes[w]), np.maximum(sizes[q], sizes[w])
+            good = (of[q] != of[w]) & (~others[w] | (q < w)) & (small >= similarity * large - 1e-9)
+            if good.any():
+                a, b = nodes[q[good]], nodes[w[good]]
+                yield np.maximum(a, b), np.minimum(a, b)
+
+    return pairs
+
+
+def _candidates(nodes: DataFrame, bands: int, pairs) -> DataFrame:
+    """Different pairs (a, b) of nodes (node, n, label, keys) that share one of the first bands."""
+    dealt = nodes.select("node", "n", "label", F.posexplode(F.slice("keys", 1, bands)).alias("t", "key")).select("t", "key", "node", "n", "label")
+    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
+    return common.written(dealt.mapInArrow(lambda batches: _runs(batches, pairs), "a long, b long").distinct(), "similar-pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs of row keys (a, b) whose texts (row_key, text) have the Jaccard similarity."""
 
-def sampled_tables(n: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = WIDE, seed: int = 9) -> list[list[int]]:
-    """Bit samples of the tables for n fingerprints.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words).astype(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    Samples have about log2(n) bits, so that unlike fingerprints seldom meet at any
-    size of the input; as many tables as find a pair at the threshold with the recall.
-    """
-    p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    k = min(60, max(8, math.ceil(math.log2(max(2, n))) - 2))
-    tables_needed = math.ceil(math.log(1 - recall) / math.log(1 - p**k))
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, k, replace=False).tolist()) for _ in range(tables_needed)]
+    needed = pairs.select(F.col("a").alias("row_key")).unionByName(pairs.select(F.col("b").alias("row_key"))).distinct()
+    if common.small_enough(needed.count(), 16):
+        needed = F.broadcast(needed)
+    sets = common.written(texts.join(needed, "row_key", "left_semi").dropDuplicates(["row_key"]).mapInArrow(run, "node long, shingles array<long>"), "similar-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where((1 + similarity) * shared + 1e-9 >= similarity * (F.size("sa") + F.size("sb")))
+    return common.written(met.select("a", "b"), "similar-links")
 
 
-def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, split: int = SPLIT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_key, id, first_id, first_key): each row and the first row of its group of similar texts, by id and row key.
 
     A null id comes after all others.  Rows with equal id and text share a row key.
+    Every link is a pair whose shingle sets were compared.
     """
-    names = [f"f{i}" for i in range(WIDE // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).reshape(-1, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(prints[:, i]) for i in range(len(names)))], names=["row_key", "id", *names])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            made = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row_key", "id", "s1", "s2", "n", "keys"])
 
     common.bound_batches(docs.sparkSession)
+    names = ["s1", "s2"]
     picked = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
-    prints = common.written(picked.mapInArrow(run, "row_key long, id long, " + ", ".join(f"{n} long" for n in names)), "similar-fps")
-    firsts = common.written(prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first")).select("first", F.col("first.row_key").alias("node"), *names), "similar-distinct")
-    samples = sampled_tables(firsts.count(), similarity)
-    masks = [_words_of_bits(s, WIDE).astype(np.int64).tolist() for s in samples]
-    keys = F.array(*[F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, mask, strict=True) if m]) for mask in masks])
-    dealt = firsts.select("node", *names, F.posexplode(keys).alias("t", "key")).select("t", "key", "node", *names).repartition("t", "key").sortWithinPartitions("t", "key")
-    links = dealt.mapInArrow(_compare(similar_radius(similarity), lambda t: _sampled_ways(WIDE), split, True), "a long, b long")
-    heads = _heads(components(links), firsts.select("node", "first"))
+    prints = common.written(picked.mapInArrow(run, "row_key long, id long, s1 long, s2 long, n long, keys array<long>"), "similar-prints")
+    firsts = prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    firsts = common.written(firsts.select("first", F.col("first.row_key").alias("node"), *names, "n", "keys"), "similar-distinct")
+    texts = picked.select("row_key", "text")
+    # Large groups of copies are joined by few pairs first, so that what is listed in full is between groups.
+    stars = _verified(_candidates(firsts.withColumn("label", F.col("node")), FIRST_BANDS, _star_pairs(similarity)), texts, words, similarity)
+    labels = components(stars)
+    labelled = firsts.select("node", "n", "keys").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _verified(_candidates(labelled, BANDS, _cross_pairs(similarity)), texts, words, similarity)
+    heads = _heads(components(stars.unionByName(rest)), firsts.select("node", "first"))
     head = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first"))
     classes = common.written(firsts.join(heads, "node", "left").select(*names, head["id"].alias("first_id"), head["row_key"].alias("first_key")), "similar-classes")
     return prints.join(classes, names).select("row_key", "id", "first_id", "first_key")

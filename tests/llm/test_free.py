@@ -135,6 +135,29 @@ def test_similar_texts(spark):
     assert all(got[i] // 10 == i // 10 for i in sets) and all(got[i] == i for i in sets if i % 10 == 4)
 
 
+def test_similar_texts_match_brute_force(spark):
+    """Around the threshold no link is lost and none is wrong; chains go over verified pairs only."""
+    rng = np.random.default_rng(6)
+    texts = {}
+    for base in range(80):
+        words = [f"v{x}" for x in rng.integers(0, 50_000, 300)]
+        for copy, changed in enumerate((0, 2, 4, 6, 7, 8, 9)):
+            w = list(words)
+            for at in rng.choice(300, changed, replace=False):
+                w[at] = f"c{base}-{copy}-{at}"
+            texts[base * 10 + copy] = w
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    ids = sorted(texts)
+    near = [(i, j) for i in ids for j in ids if i // 10 == j // 10 and i < j and _jaccard(sets[i], sets[j]) >= 0.8]
+    root = {i: i for i in ids}
+    for _ in ids:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(set(root.values())) > 100
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    assert {x.id: x.first_id for x in simhash.similar(docs).collect()} == root
+
+
 def test_one_of_each_group_stays(odd, odd_rows):
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
