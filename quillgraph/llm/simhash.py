@@ -236,25 +236,6 @@ def _exact_ways(mask: int, radius: int):
     return lambda depth: ways(depth) or ([np.zeros(1, np.uint64)] if depth == 0 else [])
 
 
-def _sampled_ways(bits: int):
-    """Ways to part a run by 6 more sampled bits each; pairs at the threshold part in all of them once in some hundred."""
-
-    def ways(depth: int) -> list[np.ndarray]:
-        if depth > 6:
-            return []
-        rng = np.random.default_rng(1000 + depth)
-        return [_words_of_bits(rng.choice(bits, 6, replace=False), bits) for _ in range(12)]
-
-    return ways
-
-
-def _words_of_bits(chosen, bits: int) -> np.ndarray:
-    out = [0] * (bits // 64)
-    for b in chosen:
-        out[int(b) >> 6] |= 1 << (int(b) & 63)
-    return np.array(out, np.uint64)
-
-
 def _compare(radius: int, ways_of, split: int, own_ids: bool):
     """mapInArrow function over rows (t, key, [node,] fp words) sorted by (t, key): spanning links (a, b) of nodes.
 

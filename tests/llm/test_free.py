@@ -158,6 +158,18 @@ def test_similar_texts_match_brute_force(spark):
     assert {x.id: x.first_id for x in simhash.similar(docs).collect()} == root
 
 
+def test_large_runs_lose_no_pair():
+    """A band that more than SPLIT rows share is compared whole, across batches too."""
+    n = simhash.SPLIT + 904
+    nodes = np.arange(n)
+    labels = np.where(nodes % 1000 == 0, nodes, n)
+    columns = [np.zeros(n, np.int64), np.zeros(n, np.int64), nodes, np.full(n, 100), labels]
+    batches = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c[i : i + 700]) for c in columns], names=list("tknsl")) for i in range(0, n, 700)]
+    got = [p for batch in simhash._runs(iter(batches), simhash._cross_pairs(0.8)) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    alone = set(nodes[nodes % 1000 == 0].tolist())
+    assert len(got) == len(set(got)) and set(got) == {(max(a, b), min(a, b)) for a in alone for b in range(n) if a != b}
+
+
 def test_one_of_each_group_stays(odd, odd_rows):
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
