@@ -266,6 +266,25 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize("kind", ["lines", "words", "length"])
+def test_one_extreme_statistic_is_rejected(spark, kind):
+    """In a group that never repeats anything, each of these statistics alone rejects a text."""
+    rng = np.random.default_rng(8)
+    page = lambda n: [" ".join(f"w{x}" for x in rng.integers(0, 1_000_000, 8)) for _ in range(n)]
+    texts = ["\n".join(page(int(rng.integers(18, 23)))) for _ in range(300)]
+    if kind == "lines":
+        odd_one = "\n".join(x for line in page(20) for x in (line, "share"))
+    elif kind == "words":
+        twice = " ".join(f"r{x}" for x in range(15))
+        odd_one = "\n".join([*page(9), twice, *page(9), twice + " end"])
+    else:
+        odd_one = "\n".join(page(4000))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, odd_one])], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs).select("doc_id", "base_failed", "kept").collect()}
+    assert not got[300].base_failed and not got[300].kept
+    assert all(got[i].kept for i in range(300))
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_main_text(html, text):
     assert htmlmain.main_text(html) == text
