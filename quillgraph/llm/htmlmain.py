@@ -186,7 +186,8 @@ def blocks(html: str | None) -> list[Block]:
             bad += names_bad or hidden
     if pos < len(html):
         rest = html[pos:]
-        add(rest[: rest.index("<")] if re.search(r"<[a-zA-Z/!]", rest) else rest)
+        tag = re.search(r"<[a-zA-Z/!]", rest)
+        add(rest[: tag.start()] if tag else rest)
     end_block()
     return out
 

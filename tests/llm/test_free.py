@@ -285,6 +285,10 @@ def test_one_extreme_statistic_is_rejected(spark, kind):
     assert all(got[i].kept for i in range(300))
 
 
+def test_text_before_an_unfinished_tag_stays_whole():
+    assert htmlmain.plain_text("<p>one</p>if 2 < 3 then more text <p unfinished") == "one\nif 2 < 3 then more text"
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_main_text(html, text):
     assert htmlmain.main_text(html) == text
