@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 LEAST_CHARS = 10
-BATCHES = 4
+BATCHES = 9
 FANOUT = 3
 _LAST = (1 << 63) - 1
 

@@ -10,7 +10,7 @@ import xxhash
 from conftest import DATA
 from tests.llm.test_native import LOWER, WORD
 
-from quillgraph.llm import components, htmlmain, mil, outliers, simhash, tokencount, warc
+from quillgraph.llm import common, components, htmlmain, linededup, mil, outliers, simhash, tokencount, warc
 from quillgraph.llm.queries import QUERIES
 
 # -- SimHash
@@ -426,3 +426,12 @@ def test_held_out_accuracy(spark):
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
     out = got[got["held_out"]]
     assert ((out["score"] >= 0.3) == (out["quality"] == 1)).mean() >= 0.95
+
+
+def test_line_runs_are_compacted_to_a_second_level(spark, monkeypatch):
+    names, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *by: names.append(name) or write(df, name, *by))
+    docs = spark.createDataFrame([(i, f"a line of document {i}\na line that all share") for i in range(90)], "doc_id long, text string")
+    got = linededup.dedup(docs).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {i: int(i > 0) for i in range(90)}
+    assert names.count("line-run-1") >= 2 and "line-run-2" in names
