@@ -16,11 +16,15 @@ and blocks whose lanes have all passed the radius are left early.  Links are fol
 into a union-find inside the task; only spanning links leave it, never all pairs.
 
 ``near_duplicates`` works at a stated radius of 64-bit fingerprints and is exact.
-``similar`` works at a stated Jaccard similarity of shingle sets.  Candidates share a
-band of MinHash values, each is verified on the whole sets, and only verified pairs
+``similar`` works at a stated Jaccard similarity of shingle sets.  What can be alike
+meets under a band of MinHash values; there 256-bit SimHashes are compared bit by bit
+plane in the same way, at a radius six deviations above the mean distance of a pair at
+the threshold; pairs within it are verified on the whole sets, and only verified pairs
 link.  Stars inside few bands join large groups first; then every pair of texts that
 shares any band and is not joined yet is compared, so nothing hangs on a link that
-verification refused.
+verification refused.  A key of more than ``LARGE`` rows is met tile by tile: its rows
+are parted by hash and each two parts are compared in a task of their own, so a task
+holds ``LARGE`` rows of a key or so and no pair is left out.
 
 Defined results: null text is empty; no words give fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle; rows that repeat share the
@@ -30,6 +34,7 @@ component of null ids only has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
@@ -162,8 +167,12 @@ def _within(planes: list[np.ndarray], queries: np.ndarray, q: np.ndarray, w: np.
     return q, w, ~over
 
 
-def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union, offset: int = 0) -> None:
-    """Join the rows of each run (given by its start) that lie within the radius of each other."""
+def _close_pairs(fps: np.ndarray, starts: np.ndarray, asking: np.ndarray, radius: int, needed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, other) of one run within the radius: each asking row with the rows of its lane block and the later blocks.
+
+    ``needed(q, w, heads)`` says which of the comparisons of row q with lane block w
+    have to be made; a block's rows begin at ``heads[w]``.
+    """
     n = len(fps)
     sizes = np.diff(np.append(starts, n))
     run = np.repeat(np.arange(len(starts)), sizes)
@@ -174,23 +183,16 @@ def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union, offset
     lane = (place % 64).astype(np.uint64)
     heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     planes = [np.bitwise_or.reduceat(_bit(fps, p) << lane, heads) for p in range(64 * fps.shape[1])]
-    members = np.append(heads, n)
-    width = np.diff(members).astype(np.uint64)
+    width = np.diff(np.append(heads, n)).astype(np.uint64)
     valid = np.where(width >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (width % np.uint64(64))) - np.uint64(1))
-    # Each row meets the lane blocks of its run from its own on.
-    todo = n_blocks[run] - place // 64
+    todo = (n_blocks[run] - place // 64)[asking]
     ends = np.cumsum(todo)
     at = 0
-    while at < n:
+    while at < len(asking):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TILE, side="right")))
-        rows = np.arange(at, stop)
-        q = np.repeat(rows, todo[at:stop])
+        q = np.repeat(asking[at:stop], todo[at:stop])
         w = block[q] + (np.arange(len(q)) - np.repeat(np.cumsum(todo[at:stop]) - todo[at:stop], todo[at:stop]))
-        # Blocks whose rows are all joined with the query already need no comparison.
-        low = np.minimum.reduceat(union.root[offset : offset + n], heads)
-        high = np.maximum.reduceat(union.root[offset : offset + n], heads)
-        mine = union.root[offset + q]
-        need = (low[w] != mine) | (high[w] != mine)
+        need = needed(q, w, heads)
         q, w, lanes = _within(planes, fps, q[need], w[need], radius)
         lanes = lanes & valid[w]
         while len(q):
@@ -199,12 +201,24 @@ def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union, offset
             if not len(q):
                 break
             lowest = lanes & (~lanes + np.uint64(1))
-            other = heads[w] + np.log2(lowest.astype(np.float64)).astype(np.int64)
-            union.join(offset + q, offset + other)
+            yield q, heads[w] + np.log2(lowest.astype(np.float64)).astype(np.int64)
             lanes = lanes ^ lowest
         at = stop
 
 
+def link(fps: np.ndarray, starts: np.ndarray, radius: int, union: _Union) -> None:
+    """Join the rows of each run (given by its start) that lie within the radius of each other."""
+
+    def needed(q: np.ndarray, w: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Blocks whose rows are all joined with the query already need no comparison."""
+        low, high = np.minimum.reduceat(union.root, heads), np.maximum.reduceat(union.root, heads)
+        mine = union.root[q]
+        return (low[w] != mine) | (high[w] != mine)
+
+    for q, other in _close_pairs(fps, starts, np.arange(len(fps)), radius, needed):
+        union.join(q, other)
+
+
 def _link_large(fps: np.ndarray, rows: np.ndarray, ways, radius: int, union: _Union, split: int = SPLIT, depth: int = 0) -> None:
     """A run above ``split``: part it by more bits in each of ``ways(depth)`` and compare inside the parts."""
     for held in ways(depth):
@@ -317,6 +331,32 @@ SIMILAR_SHINGLE = 5
 BANDS, MINIMA = 40, 6
 #: The bands by which groups of copies are found before all pairs are listed.
 FIRST_BANDS = 3
+#: 64-bit words of the stage's SimHash, and the deviations that its radius lies above the mean.
+WIDE, DEVIATIONS = 4, 6
+#: Rows of one key that a task compares at once, and one of how many nodes is looked at to find the keys with more.
+LARGE, LOOKED_AT = 1 << 17, 1024
+
+
+def similar_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits that a pair at the similarity stays below, by ``DEVIATIONS`` of the binomial distance."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    return min(bits - 1, round(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
+
+
+_SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The SimHash of a set of hashes as ``WIDE`` signed words; an empty set gives zeros."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 12):
+        mixed = (hashes[i : i + (1 << 12), None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
 def shingle_set(text: str | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -352,7 +392,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
-    """``pairs`` of each run of rows (t, key, ...) sorted by (t, key)."""
+    """``pairs`` of the runs of rows (t, key, ...) sorted by (t, key); runs of one row are left out."""
     held: list[np.ndarray] | None = None
     for batch in chain(batches, [None]):
         if batch is not None:
@@ -363,44 +403,80 @@ def _runs(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
         t, key = held[:2]
         heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
         # The last run may go on in the next batch.
-        ends = np.append(heads[1:], len(t)) if batch is None else heads[1:]
-        for start, end in zip(heads[: len(ends)].tolist(), ends.tolist(), strict=True):
-            if end - start > 1:
-                for a, b in pairs(*(x[start:end] for x in held[2:])):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        held = [x[len(t) if batch is None else heads[-1] :] for x in held]
+        end = len(t) if batch is None else int(heads[-1])
+        sizes = np.diff(np.append(heads, len(t)))[: len(heads) - (batch is not None)]
+        rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        sizes = sizes[sizes > 1]
+        if len(rows):
+            for a, b in pairs((np.cumsum(sizes) - sizes).astype(np.int64), *(x[rows] for x in held[2:])):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = [x[end:] for x in held]
 
 
 def _star_pairs(similarity: float):
     """Each row of a run sorted by size with the first one that is large enough."""
 
-    def pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at = 0
-        while at < len(nodes):
-            stop = int(np.searchsorted(sizes, sizes[at] / similarity + 1e-9, side="right"))
-            if stop - at > 1:
-                yield nodes[at + 1 : stop], np.full(stop - at - 1, nodes[at])
-            at = stop
+    def pairs(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, *_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        heads = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
+        todo = np.arange(len(nodes))
+        while len(todo):
+            # Rows too large for their star's head begin another star, run by run.
+            fits = sizes[heads[todo]] >= similarity * sizes[todo] - 1e-9
+            mine = todo[fits & (todo != heads[todo])]
+            if len(mine):
+                yield nodes[mine], nodes[heads[mine]]
+            todo = todo[~fits]
+            if len(todo):
+                run = np.searchsorted(starts, todo, side="right")
+                first = np.concatenate(([True], run[1:] != run[:-1]))
+                heads[todo] = todo[first][np.cumsum(first) - 1]
 
     return pairs
 
 
-def _cross_pairs(similarity: float):
-    """All pairs of a run that are not of one label and whose sizes allow the similarity."""
+def _cross_pairs(similarity: float, radius: int | None = None):
+    """Pairs of a run that are not of one label, whose sizes allow the similarity and whose SimHashes lie within the radius.
 
-    def pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, of, counts = np.unique(labels, return_inverse=True, return_counts=True)
-        if len(names) < 2:
+    Without a radius, no SimHash is looked at.  Rows are (node, size, label, side, SimHash words);
+    in a tile of two parts of a run (sides 1 and 2) only rows of different sides are paired.
+    """
+
+    def pairs(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None = None, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        side = np.zeros(len(nodes), np.int64) if side is None else side
+        fps = np.stack(words, axis=1).astype(np.uint64) if words else np.zeros((len(nodes), 1), np.uint64)
+        # Runs of one label have nothing to pair.
+        mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
+        if not mixed.any():
             return
-        # Rows of the largest label meet the others as partners only.
-        others = of != counts.argmax()
-        step = max(1, _TILE // len(nodes))
-        asking = np.flatnonzero(others)
-        for i in range(0, len(asking), step):
-            q = np.repeat(asking[i : i + step], len(nodes))
-            w = np.tile(np.arange(len(nodes)), len(q) // len(nodes))
+        lengths = np.diff(np.append(starts, len(nodes)))
+        rows = np.flatnonzero(np.repeat(mixed, lengths))
+        lengths = lengths[mixed]
+        starts = np.cumsum(lengths) - lengths
+        nodes, sizes, labels, side, fps = (x[rows] for x in (nodes, sizes, labels, side, fps))
+        run = np.repeat(np.arange(len(starts)), lengths)
+        # Rows of a run's largest label come last and are asked, but do not ask.
+        order = np.lexsort((labels, run))
+        first = np.concatenate(([True], (labels[order][1:] != labels[order][:-1]) | (run[order][1:] != run[order][:-1])))
+        group = np.empty(len(nodes), np.int64)
+        group[order] = np.cumsum(first) - 1
+        counts = np.bincount(group)
+        largest = np.maximum.reduceat(counts[group], starts)
+        tops = np.full(len(starts), len(counts))
+        np.minimum.at(tops, run, np.where(counts[group] == largest[run], group, len(counts)))
+        major = group == tops[run]
+        order = np.lexsort((nodes, sizes, major, run))
+        nodes, sizes, labels, side, fps, major = (x[order] for x in (nodes, sizes, labels, side, fps, major))
+
+        def needed(q: np.ndarray, w: np.ndarray, heads: np.ndarray) -> np.ndarray:
+            least, most = np.minimum.reduceat(sizes, heads), np.maximum.reduceat(sizes, heads)
+            low, high = np.minimum.reduceat(labels, heads), np.maximum.reduceat(labels, heads)
+            sized = (least[w] * similarity <= sizes[q] + 1e-9) & (most[w] >= similarity * sizes[q] - 1e-9)
+            return sized & ((low[w] != labels[q]) | (high[w] != labels[q]))
+
+        reach = 64 * fps.shape[1] if radius is None else radius
+        for q, w in _close_pairs(fps, starts, np.flatnonzero(~major), reach, needed):
             small, large = np.minimum(sizes[q], sizes[w]), np.maximum(sizes[q], sizes[w])
-            good = (of[q] != of[w]) & (~others[w] | (q < w)) & (small >= similarity * large - 1e-9)
+            good = (q < w) & (labels[q] != labels[w]) & (small >= similarity * large - 1e-9) & ((side[q] == 0) | (side[q] != side[w]))
             if good.any():
                 a, b = nodes[q[good]], nodes[w[good]]
                 yield np.maximum(a, b), np.minimum(a, b)
@@ -408,10 +484,31 @@ def _cross_pairs(similarity: float):
     return pairs
 
 
-def _candidates(nodes: DataFrame, bands: int, pairs) -> DataFrame:
-    """Different pairs (a, b) of nodes (node, n, label, keys) that share one of the first bands."""
-    dealt = nodes.select("node", "n", "label", F.posexplode(F.slice("keys", 1, bands)).alias("t", "key")).select("t", "key", "node", "n", "label")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
+def _dealt(nodes: DataFrame, bands: int, large: int = LARGE, looked_at: int = LOOKED_AT) -> DataFrame:
+    """Rows (t, key, node, n, label, side, SimHash words) of nodes under each band's key, large keys parted into tiles.
+
+    Which keys are large is judged by one of ``looked_at`` nodes, chosen by hash.  Tiles
+    change where pairs meet, never which: a key that is not found only makes a task hold more.
+    """
+    wide = [f"f{i}" for i in range(WIDE)]
+    keyed = nodes.select("node", "n", "label", *wide, F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
+    some = nodes.where(F.pmod(F.xxhash64(F.lit(11), F.col("node")), F.lit(looked_at)) == 0).select(F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
+    parts = (F.ceil(F.col("seen") * (2.0 * looked_at / large)) + 1).cast("int").alias("parts")
+    heavy = common.written(some.groupBy("t", "key").agg(F.count("*").alias("seen")).where(F.col("seen") * looked_at * 2 >= large).select("t", "key", parts), "similar-heavy")
+    found = heavy.count()
+    if not found:
+        return keyed.select(F.col("t").cast("long").alias("t"), "key", "node", "n", "label", F.lit(0).cast("long").alias("side"), *wide)
+    met = keyed.join(F.broadcast(heavy) if common.small_enough(found, 32) else heavy, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64(F.lit(12), F.col("node")), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("long")
+    return met.select((F.col("t") + tile.cast("long") * 64).alias("t"), "key", "node", "n", "label", side.alias("side"), *wide)
+
+
+def _candidates(nodes: DataFrame, bands: int, pairs, whole: bool = True) -> DataFrame:
+    """Different pairs (a, b) of nodes (node, n, label, keys, f0, ...) that share one of the first bands; without ``whole``, no tiles of two parts."""
+    dealt = _dealt(nodes, bands)
+    dealt = (dealt if whole else dealt.where("side = 0")).repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
     return common.written(dealt.mapInArrow(lambda batches: _runs(batches, pairs), "a long, b long").distinct(), "similar-pairs")
 
 
@@ -445,20 +542,21 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
             sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
             made = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row_key", "id", "s1", "s2", "n", "keys"])
+            prints = np.array([wide_fingerprint(x) for x in sets], np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(pa.array(prints[:, i]) for i in range(WIDE))], names=["row_key", "id", "s1", "s2", "n", "keys", *wide])
 
     common.bound_batches(docs.sparkSession)
-    names = ["s1", "s2"]
+    names, wide = ["s1", "s2"], [f"f{i}" for i in range(WIDE)]
     picked = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
-    prints = common.written(picked.mapInArrow(run, "row_key long, id long, s1 long, s2 long, n long, keys array<long>"), "similar-prints")
-    firsts = prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    firsts = common.written(firsts.select("first", F.col("first.row_key").alias("node"), *names, "n", "keys"), "similar-distinct")
+    prints = common.written(picked.mapInArrow(run, "row_key long, id long, s1 long, s2 long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in wide)), "similar-prints")
+    firsts = prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first"), *[F.any_value(x).alias(x) for x in ("n", "keys", *wide)])
+    firsts = common.written(firsts.select("first", F.col("first.row_key").alias("node"), *names, "n", "keys", *wide), "similar-distinct")
     texts = picked.select("row_key", "text")
     # Large groups of copies are joined by few pairs first, so that what is listed in full is between groups.
-    stars = _verified(_candidates(firsts.withColumn("label", F.col("node")), FIRST_BANDS, _star_pairs(similarity)), texts, words, similarity)
+    stars = _verified(_candidates(firsts.withColumn("label", F.col("node")), FIRST_BANDS, _star_pairs(similarity), whole=False), texts, words, similarity)
     labels = components(stars)
-    labelled = firsts.select("node", "n", "keys").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _verified(_candidates(labelled, BANDS, _cross_pairs(similarity)), texts, words, similarity)
+    labelled = firsts.select("node", "n", "keys", *wide).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _verified(_candidates(labelled, BANDS, _cross_pairs(similarity, similar_radius(similarity))), texts, words, similarity)
     heads = _heads(components(stars.unionByName(rest)), firsts.select("node", "first"))
     head = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first"))
     classes = common.written(firsts.join(heads, "node", "left").select(*names, head["id"].alias("first_id"), head["row_key"].alias("first_key")), "similar-classes")

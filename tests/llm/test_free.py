@@ -170,6 +170,58 @@ def test_large_runs_lose_no_pair():
     assert len(got) == len(set(got)) and set(got) == {(max(a, b), min(a, b)) for a in alone for b in range(n) if a != b}
 
 
+def _cross_batches(rows, size):
+    columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    return [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c[i : i + size]) for c in columns], names=[str(k) for k in range(len(columns))]) for i in range(0, len(rows), size)]
+
+
+def test_cross_pairs_match_brute_force():
+    """Several runs, labels, sizes and SimHashes: the pairs are those of a plain loop."""
+    rng = np.random.default_rng(12)
+    rows, node = [], 0
+    for run in range(60):
+        base = rng.integers(0, 1 << 62, simhash.WIDE)
+        for size in np.sort(rng.integers(50, 90, rng.integers(1, 150 if run % 7 == 0 else 9))):
+            flips = rng.integers(0, 1 << 62, simhash.WIDE) & rng.integers(0, 1 << 62, simhash.WIDE) & rng.integers(0, 1 << 62, simhash.WIDE)
+            rows.append((run % 3, run, node, int(size), int(rng.integers(0, 4)), int(rng.integers(0, 3)) if run % 2 else 0, *(base ^ flips)))
+            node += 1
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[2]))
+    radius = 60
+    got = [p for b in simhash._runs(iter(_cross_batches(rows, 37)), simhash._cross_pairs(0.8, radius)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            bits = sum((int(a) ^ int(b)).bit_count() for a, b in zip(x[6:], y[6:], strict=True))
+            if x[:2] == y[:2] and x[4] != y[4] and min(x[3], y[3]) >= 0.8 * max(x[3], y[3]) and (x[5] == 0 or x[5] != y[5]) and bits <= radius:
+                want.add((max(x[2], y[2]), min(x[2], y[2])))
+    assert len(got) == len(set(got)) and set(got) == want and 100 < len(want)
+
+
+def test_large_keys_meet_in_tiles(spark):
+    """A key parted into tiles gives the pairs that it gives whole, and no task's tile holds all of its rows."""
+    n = 300
+    rows = [(i, 100, i, [5, i], *([i] * simhash.WIDE)) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node long, n long, label long, keys array<long>, " + ", ".join(f"f{i} long" for i in range(simhash.WIDE)))
+    tiles = simhash._dealt(nodes, 2, large=50, looked_at=1).sort("t", "key", "n", "node").collect()
+    assert max(Counter((r.t, r.key) for r in tiles).values()) < n / 2
+    got = [p for b in simhash._runs(iter(_cross_batches([tuple(r) for r in tiles], 1000)), simhash._cross_pairs(0.8, 255)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) == len(set(got)) == n * (n - 1) // 2
+
+
+def test_many_alike_but_different_texts(spark):
+    """Thousands of different texts of one template end as one group, and those below the threshold apart."""
+    rng = np.random.default_rng(13)
+    base = [f"v{x}" for x in rng.integers(0, 50_000, 200)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for at in rng.choice(200, 2 if i < 2900 else 60, replace=False):
+            w[at] = f"c{i}-{at}"
+        rows.append((i, " ".join(w)))
+    got = {x.id: x.first_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == 0 for i in range(2900)) and all(got[i] == i for i in range(2900, 3000))
+
+
 def test_one_of_each_group_stays(odd, odd_rows):
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
