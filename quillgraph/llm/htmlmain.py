@@ -1,24 +1,41 @@
 """Main-text extraction from HTML with two-pass block rules.
 
-A page is cut into blocks at block-level tags.  First pass: stop-word density,
-length and link density make a block good, bad, or ambiguous.  Second pass:
-ambiguous blocks take the label of their nearest decided neighbours in the same
-region (both sides are looked at; the nearer one wins, a tie is good); a region
-without a decided block is good if the page marks it as its article or main part and
-bad otherwise.  Parts that the page itself names as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or comments are bad from the start.
-Inside an article only link density makes a block bad, so tables of odd words and
-headings of any kind stay.
+A page is cut into blocks at block-level tags.  First pass, by a block's text: link
+density, length and stop-word density make it good, bad or ambiguous.  Second pass:
+ambiguous blocks take the label of their nearest decided neighbours (both sides are
+looked at; the nearer one wins, a tie is good).  A heading begins a section; blocks
+look at their section first, and a heading inherits from what follows it.  Where no
+block is good, the ambiguous one with most stop words begins, below a heading if any is.
+
+* A block of links is bad, but one link block between good blocks inherits, and so
+  does one inside the page's article; two in a row are a menu.
+* A copyright line is bad, as is a block that is mostly labels of buttons; neither
+  says anything about its neighbours.
+* A long block of few stop words is bad above the first heading and ambiguous below one,
+  where it may be a table or a list.
+* On a page whose text has hardly a known stop word, density says nothing: length and
+  links decide.  An ideograph or syllable sign counts as three characters.
+
+The page's own markup is a feature beside these.  What it names as menu, header,
+footer, sidebar, notice, advert, form or comments starts as bad.  Inside its article an
+ambiguous block is bad only between two bad ones, and nothing is bad for its words;
+outside, ambiguous blocks do not inherit from the article, and a block needs twice the
+length.  Without an article, or with every name removed, the rules above decide alone.
+
+The page is scanned once from left to right, whatever it holds, so time grows with its
+length only.  A tag ends at the first ``>`` outside quoted values; a quote that is
+never closed quotes nothing.
 
 Defined results: null and empty HTML give an empty text; a text without tags is one
-block outside any article; markup that is not closed ends with the page or with what
-must follow it; comments and unclosed comments are no text; rows that repeat get
-equal results; an empty table gives an empty result.
+block; a tag, comment, script or style that is not closed ends with the page; rows that
+repeat get equal results; an empty table gives an empty result; a column of the name of
+the result is refused.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,29 +55,36 @@ STOP_WORDS = {
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 #: Elements that hold no article text, whose text is never shown, and those without an end tag (fixed values).
-BOILERPLATE_TAGS = frozenset("nav header footer aside form button select option optgroup textarea fieldset label menu dialog".split())
-HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object audio video canvas head title".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside form select option optgroup textarea fieldset menu dialog".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object audio video canvas title".split())
+#: Of these, the elements whose content is read up to the end tag or the end of the page (fixed values).
+RAW_TAGS = frozenset("script style iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+LEAF_TAGS = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION_TAGS = frozenset("article main".split())
-#: Words in class, id or role that name boilerplate, and those that name content (fixed values).
+#: Words in class, id or role that name boilerplate, that name content, and that say nothing (fixed values).
 BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related respond replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert complementary contentinfo".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text page".split())
+EMPTY_NAMES = frozenset("area bar block bottom box button buttons container fixed form global icon inner item items left link links list outer panel primary right secondary section site slot sticky top unit wrap wrapper".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|title)(?![\w-])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_TAG_NAME = re.compile(r"[^\s/>]+")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>=]*)")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_WORDS = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_ENDS = {tag: re.compile(f"</{tag}(?![\\w-])", re.I) for tag in HIDDEN_TAGS}
 
 LONG_CHARS = 200
 SHORT_CHARS = 70
-STOP_HIGH, STOP_LOW = 0.30, 0.10
+STOP_LOW = 0.10
 LINKS_HIGH = 0.33
+#: Share of stop words among a page's words below which its language counts as unknown.
+STOP_KNOWN = 0.04
 
 GOOD, BAD, NEAR = 1, 0, 2
 
@@ -68,173 +92,288 @@ GOOD, BAD, NEAR = 1, 0, 2
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("text", "link_chars", "named_bad", "region")
-
-    def __init__(self, text: str, link_chars: int, named_bad: bool, region: int) -> None:
-        self.text, self.link_chars, self.named_bad, self.region = text, link_chars, named_bad, region
+    __slots__ = ("text", "link_chars", "button_chars", "named_bad", "region", "heading")
+
+    def __init__(self, text: str, link_chars: int, button_chars: int, named_bad: bool, region: int, heading: bool) -> None:
+        self.text, self.link_chars, self.button_chars = text, link_chars, button_chars
+        self.named_bad, self.region, self.heading = named_bad, region, heading
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
+    """(text, tag, is an end tag, attributes): the text before each tag; the last token has no tag.  Comments and hidden content are left out."""
+    pos, size = 0, len(html)
+    missing: set[str] = set()  # what does not occur from here on: it is not looked for again
+
+    def find(what: str, at: int) -> int:
+        if what in missing:
+            return -1
+        place = html.find(what, at)
+        if place < 0:
+            missing.add(what)
+        return place
+
+    text: list[str] = []
+    while True:
+        at = html.find("<", pos)
+        if at < 0:
+            text.append(html[pos:])
+            break
+        text.append(html[pos:at])
+        after = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            end = find("-->", at + 4)
+            pos = end + 3 if end >= 0 else size
+            continue
+        if after and after in "!?":
+            end = find(">", at)
+            pos = end + 1 if end >= 0 else size
+            continue
+        closing = after == "/"
+        first = html[at + 1 + closing : at + 2 + closing]
+        if not (first.isascii() and first.isalpha()):
+            if closing:
+                end = find(">", at)
+                pos = end + 1 if end >= 0 else size
+            else:
+                text.append("<")
+                pos = at + 1
+            continue
+        name = _TAG_NAME.match(html, at + 1 + closing)
+        tag, pos = name[0].lower(), name.end()
+        attrs: dict[str, str] = {}
+        while True:
+            part = _ATTR_NAME.match(html, pos)
+            pos = part.end()
+            if pos >= size or html[pos] == ">":
+                if part[1]:
+                    attrs.setdefault(part[1].lower(), "")
+                break
+            value = ""
+            if equals := _EQUALS.match(html, pos):
+                pos = equals.end()
+                quote = html[pos : pos + 1]
+                end = find(quote, pos + 1) if quote and quote in "\"'" else -1
+                if end >= 0:
+                    value, pos = html[pos + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(html, pos)
+                    value, pos = bare[0], bare.end()
+            if part[1]:
+                attrs.setdefault(part[1].lower(), value)
+        if pos >= size:
+            break  # a tag that is not closed
+        pos += 1
+        if tag in HIDDEN_TAGS:
+            if not closing and tag not in missing:
+                end = _ENDS[tag].search(html, pos)
+                if end:
+                    stop = find(">", end.end())
+                    pos = stop + 1 if stop >= 0 else size
+                else:
+                    missing.add(tag)
+                    pos = size if tag in RAW_TAGS else pos
+            continue
+        yield "".join(text), tag, closing, attrs
+        text.clear()
+    yield "".join(text), "", False, {}
 
 
-def _named(attrs: str, in_region: bool) -> tuple[bool, bool]:
+def _named(attrs: dict[str, str], in_region: bool) -> tuple[bool, bool]:
     """Whether attributes name boilerplate, and whether they hide the element."""
-    names: set[str] = set()
-    hidden = False
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "role"):
-            names.update(_NAME.findall(value))
-        elif key == "hidden":
-            hidden = True
-        elif key == "aria-hidden":
-            hidden |= value == "true"
-        elif key == "style":
-            hidden |= "display:none" in value.replace(" ", "")
-    bad = names & BOILERPLATE_NAMES
-    if in_region:
-        bad -= {"header", "banner"}
-    return bool(bad) and not names & CONTENT_NAMES or bool(names & {"comment", "comments", "commentlist", "disqus"}), hidden
+    hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
+    bad = comment = content = False
+    for key in ("class", "id", "role"):
+        for name in attrs.get(key, "").lower().split():
+            words = set(_NAME.findall(name))
+            named = words & BOILERPLATE_NAMES
+            if in_region:
+                named -= {"header", "banner"}
+            bad |= bool(named) and words <= BOILERPLATE_NAMES | EMPTY_NAMES | CONTENT_NAMES
+            comment |= bool(words & COMMENT_NAMES) and words <= BOILERPLATE_NAMES | EMPTY_NAMES | CONTENT_NAMES
+            content |= bool(words & CONTENT_NAMES)
+    return bad and not content or comment, hidden
 
 
 def blocks(html: str | None) -> list[Block]:
     """All shown blocks of a page, in order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, ends as boilerplate, is a region
-    bad = region = n_regions = anchor = link_chars = breaks = 0
-    html = html or ""
+    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, starts as boilerplate, is a region
+    bad_at: list[int] = []  # places in the stack of those that start as boilerplate
+    open_tags: Counter[str] = Counter()
+    bad_lists = region = n_regions = anchor = button = link_chars = button_chars = breaks = 0
+    heading = False
 
     def end_block() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, button_chars
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(link_chars, len(text)), bad > 0, region))
+                out.append(Block(text, min(link_chars, len(text)), button_chars, bool(bad_at), region, heading))
             parts.clear()
-        link_chars = 0
-
-    def add(raw: str) -> None:
-        nonlocal link_chars, breaks
-        text = unescape(raw) if "&" in raw else raw
-        if breaks and not text.isspace():
-            breaks = 0
-        parts.append(text)
-        if anchor:
-            link_chars += len(text.strip())
-
-    def close(at: int) -> None:
-        nonlocal bad, region
-        for _, was_bad, was_region in stack[at:]:
-            bad -= was_bad
-            if was_region:
-                region = 0
-        del stack[at:]
-
-    pos = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > pos:
-            add(html[pos : m.start()])
-        pos = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+        link_chars = button_chars = 0
+
+    def push(tag: str, is_bad: bool, is_region: bool) -> None:
+        nonlocal bad_lists
+        if is_bad:
+            bad_at.append(len(stack))
+            bad_lists += tag in ("div", "section", "ol", "ul")
+        stack.append((tag, is_bad, is_region))
+        open_tags[tag] += 1
+
+    def pop() -> str:
+        nonlocal region, bad_lists
+        tag, was_bad, was_region = stack.pop()
+        open_tags[tag] -= 1
+        if was_bad:
+            bad_at.pop()
+            bad_lists -= tag in ("div", "section", "ol", "ul")
+        if was_region:
+            region = 0
+        return tag
+
+    for raw, tag, closing, attrs in tokens(html or ""):
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            shown = len(text.strip())
+            if shown:
+                breaks = 0
+            parts.append(text)
+            link_chars += shown if anchor else 0
+            button_chars += shown if button else 0
         if tag == "a":
-            anchor = 0 if m["end"] else 1
-            continue
-        if tag == "br":
+            anchor = 0 if closing else 1
+        elif tag == "button":
+            button = 0 if closing else 1
+        elif tag == "br":
             breaks += 1
             if breaks > 1:
                 end_block()
             else:
                 parts.append(" ")
-            continue
-        if tag not in BLOCK_TAGS and tag not in BOILERPLATE_TAGS:
-            if "hidden" in m["attrs"] or "none" in m["attrs"]:
-                if not m["end"] and tag not in VOID_TAGS and _named(m["attrs"], region > 0)[1]:
-                    stack.append((tag, True, False))
-                    bad += 1
-                    continue
-            if m["end"] and any(t == tag for t, _, _ in stack):
+        elif tag not in BLOCK_TAGS and tag not in BOILERPLATE_TAGS:
+            if closing:
+                if open_tags[tag]:
+                    end_block()
+                    while pop() != tag:
+                        pass
+            elif tag not in VOID_TAGS and (open_tags[tag] or attrs and _named(attrs, region > 0)[1]):
                 end_block()
-                close(max(i for i, x in enumerate(stack) if x[0] == tag))
-            continue
-        end_block()
-        breaks, anchor = 0, 0
-        if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
-                close(at)
-            continue
-        if tag in VOID_TAGS:
-            continue
-        names_bad, hidden = _named(m["attrs"], region > 0) if m["attrs"] else (False, False)
-        if tag in REGION_TAGS:
-            # The article ends menus and adverts that were left open before it, but not lists of comments.
-            if region == 0 and not names_bad and not hidden:
-                if bad and not any(t in ("div", "section", "ol", "ul") and b for t, b, _ in stack):
-                    close(next(i for i, x in enumerate(stack) if x[1]))
-                if not bad:
+                push(tag, not open_tags[tag], False)
+        else:
+            end_block()
+            breaks = anchor = button = 0
+            heading = tag in HEADINGS and not closing
+            if closing:
+                if open_tags[tag]:
+                    while pop() != tag:
+                        pass
+                continue
+            if tag in VOID_TAGS or tag in ("body", "html"):
+                continue
+            names_bad, hidden = _named(attrs, region > 0) if attrs else (False, False)
+            if tag in REGION_TAGS and region == 0 and not names_bad and not hidden:
+                # The article ends menus and adverts that were left open before it, but not lists of comments.
+                if bad_at and not bad_lists:
+                    first = bad_at[0]
+                    while len(stack) > first:
+                        pop()
+                if not bad_at:
                     n_regions += 1
                     region = n_regions
-                    stack.append((tag, False, True))
+                    push(tag, False, True)
                     continue
-        elif tag in ("body", "html"):
-            continue
-        elif tag in BOILERPLATE_TAGS and not (tag == "header" and region):
-            names_bad = True
-        if names_bad or hidden or tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.append((tag, names_bad or hidden, False))
-            bad += names_bad or hidden
-    if pos < len(html):
-        rest = html[pos:]
-        tag = re.search(r"<[a-zA-Z/!]", rest)
-        add(rest[: tag.start()] if tag else rest)
+            elif tag in BOILERPLATE_TAGS and not (tag == "header" and region):
+                names_bad = True
+            if names_bad or hidden or tag not in LEAF_TAGS:
+                push(tag, names_bad or hidden, False)
     end_block()
     return out
 
 
-def _first_pass(block: Block) -> int:
-    if block.named_bad:
-        return BAD
-    size = len(block.text)
-    if block.link_chars > LINKS_HIGH * size:
-        return BAD
-    if size < SHORT_CHARS:
-        return NEAR
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in _STOP for w in words) / len(words)
-    if density >= STOP_HIGH or density >= STOP_LOW and size >= LONG_CHARS:
-        return GOOD
-    if density >= STOP_LOW or block.region:
-        return NEAR
-    return BAD
+def _measures(block: Block) -> tuple[int, int, int]:
+    """Length, words and stop words of a block."""
+    words = _WORDS.findall(block.text.lower())
+    return len(block.text) + 2 * len(_WIDE.findall(block.text)), len(words), sum(w in _STOP for w in words)
+
+
+def _of_links(block: Block) -> bool:
+    return block.link_chars > LINKS_HIGH * len(block.text)
+
+
+def _is_notice(block: Block) -> bool:
+    """A copyright line, or labels of buttons."""
+    return "\u00a9" in block.text or 2 * block.button_chars > len(block.text)
+
+
+def _sections(found: list[Block]) -> list[int]:
+    """The number of headings up to each block."""
+    out, section = [], 0
+    for b in found:
+        section += b.heading and not b.named_bad
+        out.append(section)
+    return out
+
+
+def first_pass(found: list[Block]) -> list[int]:
+    """The label of each block by its own text."""
+    sizes = [_measures(b) for b in found]
+    plain = [m for b, m in zip(found, sizes, strict=True) if not b.named_bad and not _of_links(b)]
+    known = sum(m[2] for m in plain) >= STOP_KNOWN * sum(m[1] for m in plain)
+    has_region = any(b.region and not b.named_bad for b in found)
+    sections = _sections(found)
+    labels = []
+    for b, section, (size, words, stops) in zip(found, sections, sizes, strict=True):
+        density = stops / max(1, words)
+        outside = has_region and not b.region
+        if b.named_bad or _is_notice(b):
+            label = BAD
+        elif _of_links(b):
+            label = NEAR if b.region else BAD
+        elif b.heading or size < SHORT_CHARS:
+            label = NEAR
+        elif size >= (2 if outside else 1) * LONG_CHARS and (not known or density >= STOP_LOW):
+            label = GOOD
+        else:
+            label = NEAR if size < LONG_CHARS or density >= STOP_LOW or b.region or section else BAD
+        labels.append(label)
+    # Two blocks of links in a row are a menu; one between good blocks of text may be part of it.
+    links = [_of_links(b) and not b.named_bad for b in found]
+    decided: list[int | None] = [None] * (len(found) + 1)  # the next decided block that is none of links, from the right
+    for i in range(len(found) - 1, -1, -1):
+        decided[i] = labels[i] if labels[i] != NEAR and not links[i] else decided[i + 1]
+    before = None
+    for i, label in enumerate(labels):
+        menu = links[i] and (i > 0 and links[i - 1] or i + 1 < len(found) and links[i + 1])
+        if menu:
+            labels[i] = BAD
+        elif links[i] and not found[i].region and before == GOOD and decided[i + 1] == GOOD:
+            labels[i] = NEAR
+        elif label != NEAR and not links[i]:
+            before = label
+    if GOOD not in labels and not any(x == NEAR and b.region for b, x in zip(found, labels, strict=True)):
+        seeds = [i for i, x in enumerate(labels) if x == NEAR and not links[i]]
+        if seeds:
+            labels[max(seeds, key=lambda i: (sections[i] > 0, not found[i].heading, sizes[i][2], sizes[i][0], -i))] = GOOD
+    return labels
 
 
 def classify(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    labels = [_first_pass(b) for b in found]
-    has_region = any(b.region for b in found)
-    if has_region:
-        # The page names its article: what lies outside is not part of it.
-        labels = [BAD if not b.region else x for b, x in zip(found, labels, strict=True)]
+    labels = first_pass(found)
     n = len(found)
-    nearest: list[list[tuple[int, int] | None]] = [[None] * n, [None] * n]
-    for side, order in enumerate((range(n), range(n - 1, -1, -1))):
-        last: tuple[int, int] | None = None
-        region = -1
-        for i in order:
-            if found[i].named_bad and found[i].region:
-                continue  # an advert inside an article says nothing about the text around it
-            if found[i].region != region:
-                region, last = found[i].region, None
-            nearest[side][i] = last
-            if labels[i] != NEAR:
-                last = (i, labels[i])
+    parts = [(b.region, section) for b, section in zip(found, _sections(found), strict=True)]
+    inside, across = _nearest(found, labels, parts), _nearest(found, labels, [(b.region, 0) for b in found])
     out = []
     for i, label in enumerate(labels):
         if label == NEAR:
-            sides = [x for x in (nearest[0][i], nearest[1][i]) if x]
-            if not sides:
-                label = GOOD if found[i].region else BAD
+            sides = [x for x in (inside[0][i], inside[1][i]) if x] or [x for x in (across[0][i], across[1][i]) if x]
+            if found[i].heading and across[1][i]:
+                sides = [across[1][i]]
+            if found[i].region:
+                label = BAD if [(i - 1, BAD), (i + 1, BAD)] == sides else GOOD
+            elif not sides:
+                label = BAD
             else:
                 closest = min(abs(j - i) for j, _ in sides)
                 label = max(x for j, x in sides if abs(j - i) == closest)
@@ -242,6 +381,24 @@ def classify(found: list[Block]) -> list[bool]:
     return out
 
 
+def _nearest(found: list[Block], labels: list[int], parts: list[tuple[int, int]]) -> list[list[tuple[int, int] | None]]:
+    """For each block the nearest decided block (place, label) of its part before and after it."""
+    n = len(found)
+    nearest: list[list[tuple[int, int] | None]] = [[None] * n, [None] * n]
+    for side, order in enumerate((range(n), range(n - 1, -1, -1))):
+        last: tuple[int, int] | None = None
+        part = None
+        for i in order:
+            if found[i].named_bad and found[i].region or _is_notice(found[i]):
+                continue  # an advert inside an article or a notice says nothing about the text around it
+            if parts[i] != part:
+                part, last = parts[i], None
+            nearest[side][i] = last
+            if labels[i] != NEAR:
+                last = (i, labels[i])
+    return nearest
+
+
 def main_text(html: str | None) -> str:
     """The main text: good blocks joined by a line feed."""
     found = blocks(html)
@@ -257,6 +414,8 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "main_t
     """All columns of ``pages`` but the HTML, and the main text."""
     common.bound_batches(pages.sparkSession)
     others = [c for c in pages.columns if c != html_col]
+    if text_col in others:
+        raise ValueError(f"column {text_col} exists; give another text_col")
     schema = pages.select(*others, F.lit("").alias(text_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

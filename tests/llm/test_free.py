@@ -364,6 +364,72 @@ def test_ambiguous_blocks_follow_their_neighbours():
     assert htmlmain.main_text(html) == f"{sentence.strip()}\nBrief.\n{sentence.strip()}"
 
 
+def _article(html_text):
+    import html
+    import re
+
+    inner = re.search("<article>(.*)</article>", html_text, re.S)[1]
+    found = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in found if b)
+
+
+@pytest.mark.parametrize("tags", ["article|main", "article|main|nav|footer|header|aside"])
+def test_rules_decide_without_names(spark, tags):
+    """With the page's own names for its parts gone, text rules and neighbours alone find the article."""
+    import re
+
+    pages = [p.html for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [re.sub(r"\s(?:class|id)=(?:\"[^\"]*\"|'[^']*'|[^\s>]*)", "", re.sub(rf"<(/?)(?:{tags})\b[^>]*>", r"<\1div>", p)) for p in pages]
+    assert sum(htmlmain.main_text(q) == _article(p) for p, q in zip(pages, plain, strict=True)) >= 0.95 * len(pages)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><h1>A heading here</h1><p>Short text.</p><p><a>See the linked reference document</a></p></article>", "A heading here\nShort text.\nSee the linked reference document"),
+        ("<article><p>Text of it.</p><ul><li><a>One link</a><li><a>Two links</a></ul></article>", "Text of it."),
+        ("<article><section id=search-methods><p>Press <button>Go</button> now</p><button>Share this</button></section></article>", "Press Go now"),
+        ("<article><p title='it's'>some text</p></article>", "some text"),
+        ("<p>" + "Это длинный текст о доме и саде. " * 8 + "</p><p>Конец.</p>", ("Это длинный текст о доме и саде. " * 8).strip() + "\nКонец."),
+        ("<div><a href=/>首页</a></div><div><a href=/x>新闻</a></div><p>" + "这是一个关于花园和房子的长文章" * 6 + "</p>", "这是一个关于花园和房子的长文章" * 6),
+        ("text without a tag", "text without a tag"),
+        ("<script>if (a < b) { x = '<p>'; }</script><p>shown</p><svg><text>no</text></svg><svg><p>also shown", "shown\nalso shown"),
+    ],
+)
+def test_contract_of_main_text(html, text):
+    assert htmlmain.main_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a  ", "<div></section>", "<svg>", "<!-", "<p title='it's'>x", "<aside><article></article>", '<a href="', "<br><br>x", "<b hidden>", "<li><a>x</a>", "&", "<x y=1 "])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    htmlmain.main_text(page)
+    assert time.process_time() - start < 8
+
+
+def test_neighbours_match_a_plain_search():
+    """The second pass against a search over all pairs of blocks."""
+    rng = np.random.default_rng(5)
+    word = {0: "the of and to in " * 20, 1: "short one", 2: "xx yy zz qq ww " * 20}
+    for _ in range(200):
+        found = [htmlmain.Block(word[int(k)], 0, 0, bool(rng.random() < 0.1), 0, bool(rng.random() < 0.1)) for k in rng.integers(0, 3, rng.integers(1, 14))]
+        labels = htmlmain.first_pass(found)
+        section = np.cumsum([b.heading and not b.named_bad for b in found])
+        for i, (label, kept) in enumerate(zip(labels, htmlmain.classify(found), strict=True)):
+            if label == htmlmain.NEAR:
+                known = [(abs(j - i), -labels[j]) for j in range(len(found)) if labels[j] != htmlmain.NEAR]
+                sides = [min((abs(j - i), j) for j in js if labels[j] != htmlmain.NEAR) for js in (range(i), range(i + 1, len(found))) if any(labels[j] != htmlmain.NEAR for j in js)]
+                mine = [(d, j) for d, j in sides if section[j] == section[i]] or sides
+                if found[i].heading and any(j > i for _, j in sides):
+                    mine = [(d, j) for d, j in sides if j > i]
+                assert bool(known) == bool(sides)
+                label = max((labels[j] for d, j in mine if d == min(mine)[0]), default=htmlmain.BAD)
+            assert kept == (label == htmlmain.GOOD)
+
+
 def test_extraction_keeps_columns(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article>t</article>", "y")], "page_id long, url string, html string, n_chars string")
     assert sorted(map(str, htmlmain.extract(pages).select("main_text", "n_chars").collect())) == ["Row(main_text='', n_chars='x')", "Row(main_text='t', n_chars='y')"]
