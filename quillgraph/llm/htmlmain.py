@@ -100,7 +100,10 @@ class Block:
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
-    """(text, tag, is an end tag, attributes): the text before each tag; the last token has no tag.  Comments and hidden content are left out."""
+    """(text, tag, is an end tag, attributes): the text before each tag; the last token has no tag.
+
+    Comments and the content of hidden elements are left out; a title's content is its attribute ``#text``.
+    """
     pos, size = 0, len(html)
     missing: set[str] = set()  # what does not occur from here on: it is not looked for again
 
@@ -166,12 +169,17 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
         if tag in HIDDEN_TAGS:
             if not closing and tag not in missing:
                 end = _ENDS[tag].search(html, pos)
+                if tag == "title":
+                    attrs["#text"] = html[pos : end.start()] if end else ""
                 if end:
                     stop = find(">", end.end())
                     pos = stop + 1 if stop >= 0 else size
                 else:
                     missing.add(tag)
                     pos = size if tag in RAW_TAGS else pos
+            if not closing and attrs:
+                yield "".join(text), tag, False, attrs
+                text.clear()
             continue
         yield "".join(text), tag, closing, attrs
         text.clear()
@@ -241,6 +249,8 @@ def blocks(html: str | None) -> list[Block]:
             parts.append(text)
             link_chars += shown if anchor else 0
             button_chars += shown if button else 0
+        if tag in HIDDEN_TAGS:
+            continue
         if tag == "a":
             anchor = 0 if closing else 1
         elif tag == "button":

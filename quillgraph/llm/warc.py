@@ -10,10 +10,12 @@ from the source's, so reruns agree.
 Records are read from WARC files with ``read`` (whole files through Spark's binary
 source, cut by Content-Length; gzip members of any number) and written with ``write``
 through Spark's text sink, whose line separator is the blank lines that end a record.
+A derivative's ``source_headers`` are written too, and read back.
 
 Defined results: a null page or block is empty; a null URI is left out of the header;
 blocks that are not HTML convert to an empty text; rows that repeat give equal records;
-an empty table gives an empty result; other columns are carried or ignored as stated.
+an empty table gives an empty result; a broken record is a row of type ``unreadable``;
+of other columns ``derive`` keeps ``key`` and ``responses`` none.
 """
 
 from __future__ import annotations
@@ -31,16 +33,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
-from quillgraph.llm.htmlmain import plain_text
+from quillgraph.llm.htmlmain import plain_text, tokens
 
 #: Stated crawl time of records that are built from a page table.
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, refers_to string, refers_to_target_uri string, refers_to_date string, source_headers map<string,string>, source_payload_digest string, block_digest string, payload_digest string, block binary"
 NAMES = [x.split()[0] for x in re.split(r", (?=\w+ )", SCHEMA)]
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
-_LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([\w-]+)", re.I)
+#: Elements whose attributes are links out of a page (fixed values).
+_LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
+#: A source's header field ``F`` is written as ``Source-F``.
+_SOURCE = "Source-"
+#: Record type of what ``read`` finds to be no record.
+UNREADABLE = "unreadable"
+_HEADER_BYTES = 1 << 20
+_PIECE = 1 << 20
 
 
 def digest(block: bytes) -> str:
@@ -105,10 +112,15 @@ def _derive(row: dict) -> list[dict]:
     http, body = _payload(block, kind)
     is_html = "html" in http.get("content-type", kind)
     html = body.decode("utf-8", "replace") if is_html else ""
-    fields = [("title", " ".join(unescape(m[1]).split())) for m in [_TITLE.search(html)] if m]
-    fields += [("language", m[1]) for m in [_LANG.search(html)] if m]
-    fields += [(f"http-{k}", v) for k, v in http.items()]
-    fields += [("outlink", f"{unescape(v.strip(chr(34) + chr(39)))} {tag.lower()}/@{attr.lower()}") for tag, attr, v in _LINK.findall(html)]
+    titles, languages, links = [], [], []
+    for _, tag, closing, attrs in tokens(html):
+        if "#text" in attrs:
+            titles.append(("title", " ".join(unescape(attrs["#text"]).split())))
+        if tag == "html" and attrs.get("lang"):
+            languages.append(("language", attrs["lang"]))
+        if tag in _LINKS and not closing and _LINKS[tag] in attrs:
+            links.append(("outlink", f"{unescape(attrs[_LINKS[tag]])} {tag}/@{_LINKS[tag]}"))
+    fields = [*titles[:1], *languages[:1], *((f"http-{k}", v) for k, v in http.items()), *links]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode("utf-8", "replace")
     text = plain_text(html).encode("utf-8", "replace")
     kept = {
@@ -122,42 +134,64 @@ def _derive(row: dict) -> list[dict]:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two derivatives of each response; other record types and other columns but ``key`` give none."""
+    """Two derivatives of each response; other record types give none.  A column ``key`` of any type comes first; other columns are left out."""
     common.bound_batches(records.sparkSession)
     key = ["key"] if "key" in records.columns else []
-    schema = pa.schema([*((k, pa.int64()) for k in key), *_ARROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            schema = pa.schema([*(batch.schema.field(k) for k in key), *_ARROW])
             for at in range(0, batch.num_rows, 256):  # derivatives of a slice are in memory together
                 rows = [{k: row[k] for k in key} | x for row in batch.slice(at, 256).to_pylist() for x in _derive(row)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return records.where("record_type = 'response'").select(*key, *NAMES).mapInArrow(run, ("key long, " if key else "") + SCHEMA)
+    made = "".join(f"key {records.schema[k].dataType.simpleString()}, " for k in key)
+    return records.where("record_type = 'response'").select(*key, *NAMES).mapInArrow(run, made + SCHEMA)
 
 
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC files, one a partition.  Blocks are UTF-8 (others: use ``errors='replace'`` upstream)."""
+    """Write records as WARC files, one a partition; a source's header fields become ``Source-`` fields.
+
+    Blocks are UTF-8 (others: use ``errors='replace'`` upstream).  A compressed file is one gzip stream, as Spark's sink writes it.
+    """
     pairs = {
         "WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Date": "date", "WARC-Target-URI": "target_uri", "WARC-Refers-To": "refers_to",
         "WARC-Refers-To-Target-URI": "refers_to_target_uri", "WARC-Refers-To-Date": "refers_to_date", "WARC-Block-Digest": "block_digest",
         "WARC-Payload-Digest": "payload_digest", "WARC-Source-Payload-Digest": "source_payload_digest", "Content-Type": "content_type",
     }
     block = F.coalesce(F.col("block"), F.lit(b""))
-    lines = [F.lit("WARC/1.1"), *[F.concat(F.lit(f"{k}: "), F.col(c)) for k, c in pairs.items()], F.concat(F.lit("Content-Length: "), F.octet_length(block))]
+    one_line = lambda v: F.regexp_replace(v, "[\r\n]+", " ")
+    kept = F.transform(F.map_entries("source_headers"), lambda e: F.concat(F.lit(_SOURCE), one_line(e["key"]), F.lit(": "), one_line(e["value"])))
+    kept = F.when(F.size("source_headers") > 0, F.array_join(kept, "\r\n"))
+    lines = [F.lit("WARC/1.1"), *[F.concat(F.lit(f"{k}: "), one_line(F.col(c))) for k, c in pairs.items()], kept, F.concat(F.lit("Content-Length: "), F.octet_length(block))]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block.cast("string"))
     records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def _unzipped(data: bytes) -> bytes:
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The unzipped bytes of a file, piece by piece; after a broken member it goes on at the next one, with ``None`` between."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+        yield from (data[i : i + _PIECE] for i in range(0, len(data), _PIECE))
+        return
+    at = 0
+    while at >= 0 and at < len(data):
+        member, rest = zlib.decompressobj(31), at
+        try:
+            while not member.eof and rest < len(data):
+                given = data[rest : rest + _PIECE]
+                rest += len(given)
+                while given:
+                    out = member.decompress(given, 4 * _PIECE)
+                    given = member.unconsumed_tail
+                    if out:
+                        yield out
+            if not member.eof:
+                raise zlib.error("the file ends inside a member")
+            rest -= len(member.unused_data)
+            at = rest if data[rest : rest + 2] == b"\x1f\x8b" else data.find(b"\x1f\x8b\x08", rest)
+        except zlib.error:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", at + 3)
 
 
 _FIELD_OF = {
@@ -167,28 +201,92 @@ _FIELD_OF = {
 }
 
 
+def _fields(head: bytes) -> tuple[dict, int | None]:
+    """A record row of header lines, and the block's length if it is a number."""
+    row, length, kept = _row(), None, []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        low, value = name.strip().lower(), value.strip()
+        if low == "content-length":
+            length = int(value) if value.isascii() and value.isdigit() else None
+        elif low in _FIELD_OF:
+            row[_FIELD_OF[low]] = value
+        elif low.startswith(_SOURCE.lower()):
+            kept.append((name.strip()[len(_SOURCE) :], value))
+    row["source_headers"] = list(dict(kept).items())
+    return row, length
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The record rows of a WARC file's bytes; stops at what is no record."""
-    data = _unzipped(data)
-    pos = 0
-    while (start := data.find(b"WARC/1.", pos)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
+    """The record rows of a WARC file's bytes.
+
+    What is no record (a broken header, no length, bytes between records, a broken
+    gzip member, a block that the file's end cuts) is a row of type ``unreadable`` that
+    holds its bytes, and reading goes on behind it.
+    """
+    buffer, pieces = bytearray(), _pieces(data)
+    broken = False
+
+    def more() -> bool:
+        nonlocal broken
+        piece = next(pieces, b"")
+        if piece is None:
+            broken = True
+            return False
+        buffer.extend(piece)
+        return bool(piece)
+
+    def unreadable(size: int) -> dict:
+        found = bytes(buffer[:size])
+        del buffer[:size]
+        return _row(record_type=UNREADABLE, source_headers=[], block=found)
+
+    while True:
+        if broken:
+            # What came before the break is no whole record; what comes after begins anew.
+            broken = False
+            yield unreadable(len(buffer))
+        blank = len(buffer) - len(buffer.lstrip(b"\r\n"))
+        del buffer[:blank]
+        if len(buffer) < 7:
+            if more() or broken:
+                continue
+            if buffer:
+                yield unreadable(len(buffer))
             return
-        row, length = _row(source_headers=[]), 0
-        for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            if name.lower() == "content-length":
-                length = int(value)
-            elif name.lower() in _FIELD_OF:
-                row[_FIELD_OF[name.lower()]] = value.strip()
-        row["block"] = data[end + 4 : end + 4 + length]
-        pos = end + 4 + length
+        if not buffer.startswith(b"WARC/1."):
+            start = buffer.find(b"\nWARC/1.")
+            if start < 0 and (more() or broken):
+                continue
+            yield unreadable(start + 1 if start >= 0 else len(buffer))
+            continue
+        end = buffer.find(b"\r\n\r\n", 0, _HEADER_BYTES)
+        if end < 0:
+            if len(buffer) < _HEADER_BYTES and (more() or broken):
+                continue
+            yield unreadable(7)
+            continue
+        row, length = _fields(bytes(buffer[:end]))
+        if length is None:
+            yield unreadable(end + 4)
+            continue
+        while len(buffer) < end + 4 + length and more():
+            pass
+        if broken:
+            continue
+        if len(buffer) < end + 4 + length:
+            yield unreadable(len(buffer))
+            continue
+        row["block"] = bytes(buffer[end + 4 : end + 4 + length])
+        del buffer[: end + 4 + length]
         yield row
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Record rows of WARC files below a path (plain or gzip)."""
+    """Record rows of WARC files below a path (plain or gzip), unreadable parts included as rows of that type.
+
+    A file is one value of Spark's binary source, 2 GB at most, and is unzipped piece by piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

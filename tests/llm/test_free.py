@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import DATA
+from pyspark.sql import functions as F
 from tests.llm.test_native import LOWER, WORD
 
 from quillgraph.llm import common, components, htmlmain, linededup, mil, outliers, simhash, tokencount, warc
@@ -470,6 +471,40 @@ def test_gzip_members(spark, tmp_path):
     assert [(r.record_type, bytes(r.block)) for r in warc.derive(records).collect()] == [("metadata", b""), ("conversion", b"hi")]
 
 
+def test_written_derivatives_keep_source_headers(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>t{i}</title><p>text of {i}") for i in range(20)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages))
+    warc.write(made.drop("key"), str(tmp_path / "out"))
+    again = warc.read(spark, str(tmp_path / "out"))
+    fields = lambda df: {r.record_id: (r.refers_to, dict(r.source_headers), r.source_payload_digest, bytes(r.block)) for r in df.collect()}
+    assert fields(again) == fields(made) and all(v[1]["WARC-Type"] == "response" and v[1]["WARC-Block-Digest"] for v in fields(again).values())
+
+
+def test_broken_records_are_rows_and_reading_goes_on():
+    import gzip
+
+    record = lambda i, length=None: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: %s\r\n\r\nbody %d\r\n\r\n" % (i, length or b"6", i)
+    kinds = lambda data: [(r["record_type"], r["record_id"]) for r in warc.parse(data)]
+    one, two, three = (("response", f"<urn:x:{i}>") for i in (1, 2, 3))
+    bad = (warc.UNREADABLE, None)
+    assert kinds(record(1) + record(2, b"six") + record(3)) == [one, bad, bad, three]
+    assert kinds(record(1) + b"rubbish between\r\n" + record(2)) == [one, bad, two]
+    assert kinds(record(1) + record(2)[:-8]) == [one, bad]
+    assert kinds(b"") == [] and kinds(b"\r\n\r\n") == [] and kinds(b"no record") == [bad]
+    broken = bytearray(gzip.compress(record(2) * 50))
+    broken[40:60] = b"\xff" * 20
+    assert kinds(gzip.compress(record(1)) + bytes(broken) + gzip.compress(record(3))) == [one, bad, three]
+    assert kinds(gzip.compress(record(1)) + gzip.compress(record(2))[:-9]) == [one, two, bad]  # the record is whole, its member's end is not
+    assert b"".join(r["block"] for r in warc.parse(b"WARC/1.0\r\nContent-Length: 3000000\r\n\r\n" + b"x" * 3_000_000)) == b"x" * 3_000_000
+
+
+def test_key_of_any_type_is_carried(spark):
+    records = warc.responses(spark.createDataFrame([(1, "u", "<a href='x' href=y>t</a>")], "page_id long, url string, html string"))
+    got = warc.derive(records.withColumn("key", F.lit("k1")).withColumn("block2", F.lit(1))).collect()
+    assert [(r.key, r.record_type) for r in got] == [("k1", "metadata"), ("k1", "conversion")]
+    assert b"outlink: x a/@href\r\n" in bytes(got[0].block)
+
+
 def test_derivatives_of_nothing(spark):
     assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
