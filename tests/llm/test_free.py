@@ -259,40 +259,87 @@ def test_verdicts_of_odd_rows(odd, odd_rows, nothing):
     assert outliers.judge(nothing).count() == 0
 
 
-def _mcd(x, share, steps, factor):
-    """Concentration steps on one group in memory, with the operator's distance bins and priors."""
-    mid = np.median(x, axis=0)
-    dev = np.median(np.abs(x - mid), axis=0)
-    inv = np.diag(1 / ((1.4826 * dev) ** 2 + np.square(outliers.FLOOR)))
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - mid, inv, x - mid)
-        bins = np.floor(np.log1p(d) * outliers._BINS)
-        counts = Counter(bins)
-        total, kept = 0, set()
-        for b in sorted(counts):
-            if total < share * len(x):
-                kept.add(b)
-            total += counts[b]
-        dense = x[np.isin(bins, list(kept))]
-        mid = dense.mean(axis=0)
-        inv = np.linalg.inv(factor * np.cov(dense.T, bias=True) + np.diag(np.square(outliers.FLOOR)))
-    return np.sqrt(np.einsum("ij,jk,ik->i", x - mid, inv, x - mid))
-
-
-def test_distances_match_one_group_in_memory(spark):
+def _mcd(x, share):
+    """The estimate of one group in memory: sorted distances, exact subsets."""
+    floor = np.array(outliers.FLOOR)
+
+    def inverse(scatter):
+        values, vectors = np.linalg.eigh(scatter / np.outer(floor, floor))
+        scatter = vectors @ np.diag(np.maximum(values, 1)) @ vectors.T * np.outer(floor, floor)
+        return np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
+
+    def far(center, inv):
+        return np.einsum("ij,jk,ik->i", x - center, inv, x - center)
+
+    def of(rows, q):
+        center = rows.mean(axis=0)
+        return (center, *inverse(outliers.consistency(q) * np.cov(rows.T, bias=True)))
+
+    middle = np.median(x, axis=0)
+    scale = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), floor)
+    z = (x - middle) / scale
+    tops, steps = [], []
+    for y in (None, np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]):
+        shape = np.eye(z.shape[1])
+        if y is not None:
+            moments = y.T @ y
+            root = np.sqrt(np.maximum(np.diag(moments), 1e-12))
+            shape = moments / np.outer(root, root)
+            np.fill_diagonal(shape, 1)
+        model = (middle, *inverse(shape * np.outer(scale, scale)))
+        for _ in range(outliers.FIRST_STEPS):
+            model = of(x[np.argsort(far(*model[:2]), kind="stable")[: math.ceil(share * len(x))]], share)
+        tops.append(model)
+    model = min(tops, key=lambda m: m[2])
+    steps.append(model)
+    for _ in range(outliers.MORE_STEPS):
+        model = of(x[np.argsort(far(*model[:2]), kind="stable")[: math.ceil(share * len(x))]], share)
+        assert model[2] <= steps[-1][2] + 1e-6  # no step lets the determinant grow
+        steps.append(model)
+    best = min(steps, key=lambda m: m[2])
+    return np.sqrt(far(*of(x[far(*best[:2]) <= outliers.chi2_quantile(outliers.INSIDE)], outliers.INSIDE)[:2]))
+
+
+def _vectors(texts):
+    n, chars, symbols, dup, rep, lines = np.array([outliers.text_stats(t) for t in texts], float).T
+    return np.stack([(chars + 250) / (n + 50), np.log1p(100 * symbols / (n + 50)), np.log1p(100 * dup / (lines + 5)), np.log1p(100 * rep / (n + 50)), np.log1p(n)], axis=1)
+
+
+def test_distances_match_groups_in_memory(spark):
+    """Two groups of their own, two small ones of a language together, and languages of a few rows as one."""
     rng = np.random.default_rng(3)
-    texts = []
-    for i in range(400):
-        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(rng.integers(20, 80))]
-        texts.append((i, " ".join(w + "|#" if i % 20 == 0 else w for w in words), "en", "s"))
-    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    rows = []
+    for name, size, letters in (("en-a", 400, 6), ("en-b", 150, 12), ("de-a", 40, 9), ("de-b", 30, 9), ("fr-a", 20, 5), ("es-a", 35, 4)):
+        for i in range(size):
+            words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, letters))) for _ in range(rng.integers(20, 80))]
+            rows.append((len(rows), " ".join(w + "|#" if i % 20 == 0 else w for w in words), *name.split("-")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     got = outliers.judge(docs).toPandas().set_index("doc_id").sort_index()
-    stats = np.array([outliers.text_stats(t) for _, t, _, _ in texts], float)
-    n, chars, symbols, dup, rep, lines = stats.T
-    x = np.stack([(chars + 250) / (n + 50), np.log1p(100 * symbols / (n + 50)), np.log1p(100 * dup / (lines + 5)), np.log1p(100 * rep / (n + 50)), np.log1p(n)], axis=1)
-    want = _mcd(x, outliers.SHARE, outliers.STEPS, outliers.consistency(outliers.SHARE))
-    assert np.allclose(got["distance"].to_numpy(float), want, rtol=0.05, atol=0.05)
-    assert set(got.index[~got["kept"]]) == set(range(0, 400, 20))
+    of = {"en": lambda r: r[2:], "de": lambda r: r[2], "fr": lambda r: "rest", "es": lambda r: "rest"}
+    parts = defaultdict(list)
+    for r in rows:
+        parts[of[r[2]](r)].append(r[0])
+    assert sorted(map(len, parts.values())) == [55, 70, 150, 400]
+    for ids in parts.values():
+        want = _mcd(_vectors([rows[i][1] for i in ids]), outliers.SHARE)
+        assert np.allclose(got.loc[ids, "distance"].to_numpy(float), want, rtol=0.05, atol=0.05)
+    assert set(got.index[~got["kept"]]) >= {i for i in parts[("en", "a")] if i % 20 == 0}
+
+
+def test_outliers_that_no_margin_shows_are_rejected(spark):
+    """Two statistics that go together: rows against that grain lie inside every single range."""
+    rng = np.random.default_rng(9)
+    n = 1000
+    a = rng.normal(0, 1, n)
+    x = np.stack([4 + 0.8 * a, np.zeros(n), np.zeros(n), np.zeros(n), 5 + 1.6 * a + rng.normal(0, 0.05, n)], axis=1)
+    x[:50, 4] = 5 - 1.6 * a[:50]
+    against = np.abs(a[:50]) > 1.2
+    frame = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{f} double" for f in outliers.FEATURES))
+    fit = outliers.Mcd(frame, True).fit()
+    d = np.array([r.d for r in outliers.Mcd(frame, True).far(fit).sort("x0").collect()])[np.argsort(np.argsort(x[:, 0]))]
+    assert (d[:50][against] > outliers.CUT).all() and (d[50:] <= outliers.CUT).all()
+    margins = (x - np.median(x, axis=0)) / np.maximum(x.std(axis=0), outliers.FLOOR)
+    assert (np.abs(margins[:50]) < 4).all()
 
 
 def test_consistency_factor():
