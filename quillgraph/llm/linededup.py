@@ -5,8 +5,10 @@ runs, which hold every key of earlier batches; lines found there are dropped, an
 inside the batch only the smallest id keeps a key.  The batch's keys are written in
 order, and those that are in no run are a run of level 0.  Once a level has ``fanout`` runs, they are merged
 into one run of the next level, so a key is rewritten a logarithmic number of times
-and a lookup meets few runs.  Keys are 128 bits wide.  Runs are Parquet folders in
-the shared folder, each sorted by key inside its hash partitions.
+and a lookup meets few runs.  Keys are 128 bits wide.  A run is a table in the shared
+folder, bucketed and sorted by key with one file a bucket, so a batch's keys, dealt out
+and sorted once, meet run after run in merge anti-joins that move no run; compaction
+merges buckets in place.
 
 Defined results: null or empty text is one empty line; lines of rows with one id
 count as lines of one document; rows with a null id count as one document after
@@ -17,6 +19,8 @@ selection.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +38,13 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The store: levels of sorted runs (h1, h2)."""
+    """The store: levels of sorted runs (h1, h2) in ``buckets`` buckets."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -50,8 +56,25 @@ class LineRuns:
             out = run if out is None else out.unionByName(run)
         return out
 
+    def stored(self, run: DataFrame, name: str) -> DataFrame:
+        """A run, already dealt out by key, as a bucketed and sorted table."""
+        table = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        path = common.scratch_path(self.spark, name)
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+        self.names.append(table)
+        return self.spark.table(table)
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.buckets, "h1", "h2")
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The keys that no run holds."""
+        for run in self.runs():
+            keys = keys.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
+
     def add(self, run: DataFrame) -> None:
-        """Add a run of keys that no run holds, a selection of a written table, and compact full levels."""
+        """Add a stored run of keys that no run holds, and compact full levels."""
         depth = 0
         while True:
             if depth == len(self.levels):
@@ -59,12 +82,19 @@ class LineRuns:
             self.levels[depth].append(run)
             if len(self.levels[depth]) < self.fanout:
                 return
+            # Runs are disjoint, so a full outer join of buckets is their sorted merge.
             merged = self.levels[depth][0]
             for other in self.levels[depth][1:]:
-                merged = merged.unionByName(other)
+                merged = merged.join(other.hint("merge"), ["h1", "h2"], "full")
             self.levels[depth] = []
             depth += 1
-            run = common.written(merged.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), f"line-run-{depth}")
+            run = self.stored(merged, f"line-run-{depth}")
+
+    def forget(self) -> None:
+        """Take the runs' names out of the catalog; the files go with the driver's other scratch tables."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.levels = [], []
 
 
 def _bounds(ids: DataFrame, batches: int) -> list[int]:
@@ -75,16 +105,20 @@ def _bounds(ids: DataFrame, batches: int) -> list[int]:
 
 def mark_batch(lines: DataFrame, runs: LineRuns) -> DataFrame:
     """Dropped lines (id, text_key, pos) of a batch (id, text_key, pos, h1, h2); the runs then hold its keys too."""
+    lines = runs.dealt(lines)
     keys = lines.groupBy("h1", "h2").agg(F.min("id").alias("first_id"))
-    seen = runs.seen()
-    if seen is None:
-        keys = keys.withColumn("old", F.lit(False))
-    else:
-        keys = keys.join(seen.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-    keys = common.written(keys.sortWithinPartitions("h1", "h2"), "line-run-0")
-    runs.add(keys.where(~F.col("old")).select("h1", "h2"))
-    # A key can be dropped somewhere only if an earlier batch has it or a second document holds it.
-    return lines.join(keys, ["h1", "h2"]).where(F.col("old") | (F.col("id") > F.col("first_id"))).select("id", "text_key", "pos")
+    new = runs.stored(runs.unseen(keys), "line-run-0")
+    runs.add(new.select("h1", "h2"))
+    # A key stays in one place only: at the smallest id of the batch, if no earlier batch has it.
+    met = lines.join(new.hint("merge"), ["h1", "h2"], "left")
+    return met.where(F.col("first_id").isNull() | (F.col("id") > F.col("first_id"))).select("id", "text_key", "pos")
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The elements whose place is not in ``gone``, in time linear in both: slices between the sorted places."""
+    stops = F.concat(F.array(F.lit(-1)), F.sort_array(gone), F.array(F.size(lines)))
+    pieces = lambda x: common.let(stops, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: F.slice(x, F.get(s, k) + 2, F.get(s, k + 1) - F.get(s, k) - 1))))
+    return common.let(lines, pieces)
 
 
 def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,13 +134,16 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, batches: int = BAT
     batch = F.lit(0)
     for cut in bounds:
         batch = batch + (F.col("id") > cut).cast("int")
-    lines = base.select("id", F.xxhash64("text").alias("text_key"), F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("pos", "line")).where(F.length("line") >= least_chars)
+    # The text's hash is taken below the explode, or it would be taken once a line.
+    base = base.select("id", F.xxhash64("text").alias("text_key"), F.transform(F.split("text", "\n", -1), line_key).alias("lines"))
+    lines = base.select("id", "text_key", F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= least_chars)
     lines = common.written(lines.select("id", "text_key", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), batch.alias("batch")), "line-hashes", "batch")
     runs, drops = LineRuns(spark, fanout), None
     for b in range(len(bounds) + 1):
         part = lines.where(F.col("batch") == b).drop("batch")
         part = mark_batch(part, runs).groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone"))
         drops = part if drops is None else drops.unionByName(part)
+    runs.forget()
     # Repeated rows of one id and text have one row of drops; an id lies in one batch.
     taken = set(docs.columns)
     id_k, text_k, gone_k = (next(n for n in (f"{x}_{i}" if i else x for i in range(len(taken) + 1)) if n not in taken) for x in ("__id", "__text_key", "__gone"))
@@ -116,6 +153,6 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, batches: int = BAT
     joined = keyed.join(drops.hint("merge"), [id_k, text_k], "left")
     split = F.split(common.text_of(text_col), "\n", -1)
     gone = F.col(gone_k)
-    kept = F.when(gone.isNull(), common.text_of(text_col)).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(gone, i)), "\n"))
+    kept = F.when(gone.isNull(), common.text_of(text_col)).otherwise(F.array_join(without(split, gone), "\n"))
     out = joined.withColumns({"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), text_col: kept})
     return out.drop(id_k, text_k, gone_k)

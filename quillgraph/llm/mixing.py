@@ -68,6 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
         F.col(id_col).alias("doc_id"),
         F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source.cast("string"))).alias("source_key"),
         F.size(common.words_of(F.col(text_col))).cast("long").alias("size"),
+        common.row_key(id_col, text_col).alias("row_key"),
     )
     sized = common.written(sized, "mix-sizes")
     bins = max(1, math.ceil(2 * math.sqrt(sized.count())))
@@ -90,5 +91,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     return (
         sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(ranges, ["source_key", "bin"])
-        .select("doc_id", F.when(F.col("source_key") != "1", F.substring("source_key", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+        .select("doc_id", F.when(F.col("source_key") != "1", F.substring("source_key", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "row_key")
     )
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as a corpus: each different row of ``docs`` that it takes, with all its columns and how the text goes in.
+
+    ``epochs`` is how often the whole text is taken and ``rest`` the first words, one space
+    between them, of the pass that the budget cuts (empty if it takes all or nothing of
+    that pass; a pass that takes the whole text counts as one of ``epochs``).  ``size``,
+    ``source_size``, ``target`` and ``taken`` are those of ``mix``.  Rows that repeat are
+    one row here, with the most that any of them gives.  A clashing column name is refused.
+    """
+    made = ["size", "source_size", "target", "epochs", "taken", "rest", "__row_key"]
+    if clash := set(made) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    found = mix(docs, weights, cap, seed, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
+    found = found.groupBy(F.col("row_key").alias("__row_key")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")], F.count("*").alias("n"))
+    found = common.written(found, "mix-taken")
+    repeats = found.where("n > 1").limit(1).count()
+    found = found.drop("n")
+    if common.small_enough(found.count(), 56):
+        found = F.broadcast(found)
+    met = docs.withColumn("__row_key", common.row_key(id_col, text_col))
+    met = (met.dropDuplicates(["__row_key"]) if repeats else met).join(found, "__row_key").drop("__row_key")
+    met = met.withColumn("epochs", F.floor(F.col("taken") / F.col("size")).cast("long"))
+    part = (F.col("taken") - F.col("epochs") * F.col("size")).cast("int")
+    return met.withColumn("rest", F.when(part > 0, F.array_join(F.slice(common.words_of(F.col(text_col)), F.lit(1), part), " ")).otherwise(""))

@@ -6,6 +6,11 @@ documents; a rule's candidates are the documents in all postings of one of its
 conjunctions, and only candidates are matched against the expression.  A rule
 without mandatory trigrams (runs of hexadecimal digits) is matched in every text.
 
+The index is written once, each split of the texts as a segment sorted by trigram, so
+a scan reads the row groups of its rules' trigrams and no text.  An index over all
+trigrams answers rules that come later; one over a vocabulary, which is what a single
+scan builds, is a small part of the texts' size.
+
 Defined results: null text is empty and has no spans; rows that repeat each get
 their own (equal) row; rows with a null id are kept; an empty table gives an empty
 result; other columns of the input are ignored.  Texts of any length are scanned
@@ -135,6 +140,11 @@ def build_index(docs: DataFrame, vocabulary: Iterable[str] | None = None, *, id_
     return keyed.select("row_key", F.explode(grams).alias("trigram"))
 
 
+def write_index(docs: DataFrame, vocabulary: Iterable[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings as a written table, sorted by trigram within each segment."""
+    return common.written(build_index(docs, vocabulary, id_col=id_col, text_col=text_col).sortWithinPartitions("trigram", "row_key"), "secret-postings")
+
+
 def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
     """(row_key, rules): a bit for each rule one of whose conjunctions lies in the row's postings.
 
@@ -148,6 +158,7 @@ def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
             clauses.append((clause, 1 << rule, (1 << len(grams)) - 1))
             wanted += [(g, clause, 1 << i) for i, g in enumerate(grams)]
             clause += 1
+    index = index.where(F.col("trigram").isin(sorted({g for g, _, _ in wanted})))  # reaches the scan of a written index
     grams = spark.createDataFrame(wanted, "trigram string, clause int, bit long")
     whole = spark.createDataFrame(clauses, "clause int, rule_bit long, mask long")
     met = index.join(F.broadcast(grams), "trigram").groupBy("row_key", "clause").agg(F.bit_or("bit").alias("bits"))
@@ -201,15 +212,19 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, index: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, text and ``spans`` array<struct<start, kind, end>>; ``kind`` is the rule's number.
 
+    ``index`` is a written index of these documents over all trigrams or the rules' ones; without one, it is built.
+
     Candidates meet their rows by a 64-bit row key.  The candidate list is broadcast
     if its counted rows fit the broadcast bound, else both sides are shuffled by the key.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY}
     vocabulary = {g for q in queries.values() for c in q for g in c}
-    found = common.written(candidates(build_index(docs, vocabulary, id_col=id_col, text_col=text_col), queries), "secret-candidates")
+    if index is None:
+        index = write_index(docs, vocabulary, id_col=id_col, text_col=text_col)
+    found = common.written(candidates(index, queries), "secret-candidates")
     if common.small_enough(found.count(), 32):
         found = F.broadcast(found)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), common.row_key(id_col, text_col).alias("row_key"))

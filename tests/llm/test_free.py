@@ -629,9 +629,33 @@ def test_held_out_accuracy(spark):
 
 
 def test_line_runs_are_compacted_to_a_second_level(spark, monkeypatch):
-    names, write = [], common.written
-    monkeypatch.setattr(common, "written", lambda df, name, *by: names.append(name) or write(df, name, *by))
+    names, store = [], linededup.LineRuns.stored
+    monkeypatch.setattr(linededup.LineRuns, "stored", lambda self, run, name: names.append(name) or store(self, run, name))
     docs = spark.createDataFrame([(i, f"a line of document {i}\na line that all share") for i in range(90)], "doc_id long, text string")
     got = linededup.dedup(docs).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {i: int(i > 0) for i in range(90)}
     assert names.count("line-run-1") >= 2 and "line-run-2" in names
+
+
+def test_runs_are_met_without_moving_them(spark):
+    """Merge anti-joins with bucketed runs: the only exchange is that of the batch's keys, and compaction has none."""
+    runs = linededup.LineRuns(spark, fanout=3)
+    keys = lambda a, b: runs.dealt(spark.range(a, b).selectExpr("id", "id AS text_key", "0 AS pos", "xxhash64(id) AS h1", "xxhash64(id, 7) AS h2"))
+    for a in (0, 100, 200, 300):
+        linededup.mark_batch(keys(a, a + 150), runs).count()
+    assert [len(level) for level in runs.levels] == [1, 1] and sum(r.count() for r in runs.runs()) == 450
+    unseen = runs.unseen(keys(400, 500).select("h1", "h2"))
+    plan = unseen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2 and unseen.count() == 50
+    runs.forget()
+
+
+def test_many_shared_lines_take_linear_time(spark):
+    import time
+
+    lines = [f"shared line number {i}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:9], "one own line", *lines[9:]])), (3, "")], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in linededup.dedup(docs, batches=2).collect()}
+    assert got[2] == (200_001, 200_000, "one own line") and got[1][1] == 0 and got[3] == (1, 0, "")
+    assert time.monotonic() - start < 120

@@ -220,3 +220,28 @@ def test_items_of_nothing(spark, odd, nothing):
 
 def test_hash_keys_are_stable():
     assert hashlib.md5(b"5:42").hexdigest()[:15] == f"{int(hashlib.md5(b'5:42').hexdigest()[:15], 16):015x}"
+
+
+def test_index_is_read_by_later_rules(spark, odd):
+    """An index over all trigrams, written once, gives the candidates of any rules from its postings alone."""
+    index = secrets.write_index(odd)
+    want = Counter(map(repr, secrets.scan(odd).collect()))
+    assert Counter(map(repr, secrets.scan(odd, index=index).collect())) == want
+    later = (secrets.Rule("phrase", "three four|hunter[0-9]"),)
+    queries = {0: secrets.trigram_query(later[0].pattern)}
+    plan = secrets.candidates(index, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "In(trigram" in plan.replace("PushedFilters: [IsNotNull(trigram), ", "") or "PushedFilters" in plan and "trigram" in plan
+    assert sum(len(r.spans) for r in secrets.scan(odd, later, index=index).collect()) == sum(len(re.findall("three four|hunter[0-9]", r.text or "")) for r in odd.collect())
+
+
+def test_mixed_texts_hold_what_is_taken(spark):
+    rows = [(i, f"w{i} " * (i % 7 + 1) + f"end\n of {i}", f"s{i % 4}", i) for i in range(80)] + [(90, None, "s0", 0), (91, "", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(3)
+    got = mixing.mixed_texts(docs).collect()
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken > 0}
+    assert {r.doc_id: r.taken for r in got} == taken and all(r.extra == r.doc_id for r in got)
+    for r in got:
+        words = WORD.findall(r.text)
+        rest = r.rest.split(" ") if r.rest else []
+        assert rest == words[: len(rest)] and r.epochs * len(words) + len(rest) == r.taken
+    assert any(r.rest for r in got) and any(r.epochs > 1 for r in got)

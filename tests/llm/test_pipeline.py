@@ -48,3 +48,13 @@ def test_contaminated_documents_go(spark):
     hit = {k[0] for k in _contained(rows, items)}
     assert {r.doc_id for r in pipeline.decontaminate(spark, _docs(spark), DATA).collect()} == {i for i, _ in rows} - hit
     assert ITEMS
+
+
+def test_stages_on_odd_rows(spark, odd, nothing):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and an empty table."""
+    for docs in (odd, nothing):
+        n = docs.count()
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            assert out.columns[: len(pipeline.COLUMNS)] == list(pipeline.COLUMNS), name
+            assert out.count() <= n and (n or not out.count()), name
