@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Defined results: only the columns of documents are read, so others may have any name;
+null texts count as empty ones, null ids come after all others and null sources are a
+source of their own; of rows that repeat one stays; empty tables give an empty corpus.
+"""
 
 from __future__ import annotations
 
@@ -36,8 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document that it takes, with the words taken, repeats counted."""
-    return mixing.mix(docs.select(*COLUMNS)).where(F.col("taken") > 0)
+    """The corpus: each document that the mix takes with its text, how often the whole goes in (``epochs``) and the first words of a last, cut pass (``rest``)."""
+    return mixing.mixed_texts(docs.select(*COLUMNS))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
