@@ -22,7 +22,10 @@ plane in the same way, at a radius six deviations above the mean distance of a p
 the threshold; pairs within it are verified on the whole sets, and only verified pairs
 link.  Stars inside few bands join large groups first; then every pair of texts that
 shares any band and is not joined yet is compared, so nothing hangs on a link that
-verification refused.  A key of more than ``LARGE`` rows is met tile by tile: its rows
+verification refused.  Keys that more than ``CROWD`` texts share are compared in a second
+pass, whose rows also carry the low bytes of all MinHash values: where many texts are
+alike but below the threshold, the SimHash lets most pairs through, and the share of
+equal values, at four deviations below the threshold, keeps few of them.  A key of more than ``LARGE`` rows is met tile by tile: its rows
 are parted by hash and each two parts are compared in a task of their own, so a task
 holds ``LARGE`` rows of a key or so and no pair is left out.
 
@@ -333,6 +336,8 @@ BANDS, MINIMA = 40, 6
 FIRST_BANDS = 3
 #: 64-bit words of the stage's SimHash, and the deviations that its radius lies above the mean.
 WIDE, DEVIATIONS = 4, 6
+#: Rows of one key from which their MinHash values are compared too, and the deviations below the similarity at which they are.
+CROWD, BELOW = 16, 4
 #: Rows of one key that a task compares at once, and one of how many nodes is looked at to find the keys with more.
 LARGE, LOOKED_AT = 1 << 17, 1024
 
@@ -379,20 +384,45 @@ def _permutations(seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     return factors | np.uint32(1), shifts
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band of a set's MinHash."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set."""
     factors, shifts = _permutations()
     low = hashes.astype(np.uint32)
     least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 256):
         np.minimum(least, (low[i : i + 256, None] * factors + shifts).min(axis=0), out=least)
+    return least
+
+
+def _keys_of(least: np.ndarray) -> list[int]:
     data = least.tobytes()
     step = 4 * MINIMA
     return np.array([xxhash.xxh3_64_intdigest(data[i : i + step]) for i in range(0, len(data), step)], np.uint64).astype(np.int64).tolist()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
-    """``pairs`` of the runs of rows (t, key, ...) sorted by (t, key); runs of one row are left out."""
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of a set's MinHash."""
+    return _keys_of(minima(hashes))
+
+
+def least_agreeing(similarity: float = SIMILARITY) -> int:
+    """How many of the MinHash values of a pair at the similarity agree at least, by ``BELOW`` deviations."""
+    n = BANDS * MINIMA
+    return math.floor(n * similarity - BELOW * math.sqrt(n * similarity * (1 - similarity)))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], pairs, crowd: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``pairs`` of the runs of rows (t, key, node, n, label, ...) sorted by (t, key); runs of one row are left out.
+
+    With ``crowd``, runs of more rows than that and of several labels are not paired;
+    their (t, key) come out as rows of kind 1, beside the pairs, of kind 0.
+    """
+
+    def made(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+        if crowd is None:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
+
     held: list[np.ndarray] | None = None
     for batch in chain(batches, [None]):
         if batch is not None:
@@ -405,11 +435,18 @@ def _runs(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
         # The last run may go on in the next batch.
         end = len(t) if batch is None else int(heads[-1])
         sizes = np.diff(np.append(heads, len(t)))[: len(heads) - (batch is not None)]
-        rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        sizes = sizes[sizes > 1]
+        taken = sizes > 1
+        if crowd is not None and end:
+            label, starts = held[4][:end], heads[: len(sizes)]
+            full = (sizes > crowd) & (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts))
+            if full.any():
+                yield made(t[starts[full]], key[starts[full]], 1)
+            taken &= sizes <= crowd
+        rows = np.flatnonzero(np.repeat(taken, sizes))
+        sizes = sizes[taken]
         if len(rows):
             for a, b in pairs((np.cumsum(sizes) - sizes).astype(np.int64), *(x[rows] for x in held[2:])):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield made(a, b, 0)
         held = [x[end:] for x in held]
 
 
@@ -434,15 +471,20 @@ def _star_pairs(similarity: float):
     return pairs
 
 
-def _cross_pairs(similarity: float, radius: int | None = None):
+def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | None = None):
     """Pairs of a run that are not of one label, whose sizes allow the similarity and whose SimHashes lie within the radius.
 
     Without a radius, no SimHash is looked at.  Rows are (node, size, label, side, SimHash words);
     in a tile of two parts of a run (sides 1 and 2) only rows of different sides are paired.
+    With ``agreeing``, the last column holds the low bytes of the MinHash values, of which so many have to agree.
     """
 
     def pairs(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None = None, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         side = np.zeros(len(nodes), np.int64) if side is None else side
+        values = np.zeros((len(nodes), 0), np.uint8)
+        if agreeing is not None:
+            values = np.frombuffer(b"".join(words[-1]), np.uint8).reshape(len(nodes), -1)
+            words = words[:-1]
         fps = np.stack(words, axis=1).astype(np.uint64) if words else np.zeros((len(nodes), 1), np.uint64)
         # Runs of one label have nothing to pair.
         mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
@@ -452,7 +494,7 @@ def _cross_pairs(similarity: float, radius: int | None = None):
         rows = np.flatnonzero(np.repeat(mixed, lengths))
         lengths = lengths[mixed]
         starts = np.cumsum(lengths) - lengths
-        nodes, sizes, labels, side, fps = (x[rows] for x in (nodes, sizes, labels, side, fps))
+        nodes, sizes, labels, side, fps, values = (x[rows] for x in (nodes, sizes, labels, side, fps, values))
         run = np.repeat(np.arange(len(starts)), lengths)
         # Rows of a run's largest label come last and are asked, but do not ask.
         order = np.lexsort((labels, run))
@@ -465,7 +507,7 @@ def _cross_pairs(similarity: float, radius: int | None = None):
         np.minimum.at(tops, run, np.where(counts[group] == largest[run], group, len(counts)))
         major = group == tops[run]
         order = np.lexsort((nodes, sizes, major, run))
-        nodes, sizes, labels, side, fps, major = (x[order] for x in (nodes, sizes, labels, side, fps, major))
+        nodes, sizes, labels, side, fps, values, major = (x[order] for x in (nodes, sizes, labels, side, fps, values, major))
 
         def needed(q: np.ndarray, w: np.ndarray, heads: np.ndarray) -> np.ndarray:
             least, most = np.minimum.reduceat(sizes, heads), np.maximum.reduceat(sizes, heads)
@@ -477,21 +519,30 @@ def _cross_pairs(similarity: float, radius: int | None = None):
         for q, w in _close_pairs(fps, starts, np.flatnonzero(~major), reach, needed):
             small, large = np.minimum(sizes[q], sizes[w]), np.maximum(sizes[q], sizes[w])
             good = (q < w) & (labels[q] != labels[w]) & (small >= similarity * large - 1e-9) & ((side[q] == 0) | (side[q] != side[w]))
-            if good.any():
-                a, b = nodes[q[good]], nodes[w[good]]
+            q, w = q[good], w[good]
+            if agreeing is not None and len(q):
+                alike = np.concatenate([(values[q[i : i + 4096]] == values[w[i : i + 4096]]).sum(axis=1) for i in range(0, len(q), 4096)]) >= agreeing
+                q, w = q[alike], w[alike]
+            if len(q):
+                a, b = nodes[q], nodes[w]
                 yield np.maximum(a, b), np.minimum(a, b)
 
     return pairs
 
 
-def _dealt(nodes: DataFrame, bands: int, large: int = LARGE, looked_at: int = LOOKED_AT) -> DataFrame:
+def _dealt(nodes: DataFrame, bands: int, crowded: DataFrame | None = None, large: int = LARGE, looked_at: int = LOOKED_AT) -> DataFrame:
     """Rows (t, key, node, n, label, side, SimHash words) of nodes under each band's key, large keys parted into tiles.
 
+    With ``crowded`` keys (t, key), only rows under these, which also hold their MinHash values.
+
     Which keys are large is judged by one of ``looked_at`` nodes, chosen by hash.  Tiles
     change where pairs meet, never which: a key that is not found only makes a task hold more.
     """
     wide = [f"f{i}" for i in range(WIDE)]
-    keyed = nodes.select("node", "n", "label", *wide, F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
+    keyed = nodes.select("node", "n", "label", *wide, *(["low"] if crowded is not None else []), F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
+    if crowded is not None:
+        wide = [*wide, "low"]
+        keyed = keyed.join(F.broadcast(crowded) if common.small_enough(crowded.count(), 32) else crowded, ["t", "key"], "left_semi")
     some = nodes.where(F.pmod(F.xxhash64(F.lit(11), F.col("node")), F.lit(looked_at)) == 0).select(F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
     parts = (F.ceil(F.col("seen") * (2.0 * looked_at / large)) + 1).cast("int").alias("parts")
     heavy = common.written(some.groupBy("t", "key").agg(F.count("*").alias("seen")).where(F.col("seen") * looked_at * 2 >= large).select("t", "key", parts), "similar-heavy")
@@ -505,11 +556,31 @@ def _dealt(nodes: DataFrame, bands: int, large: int = LARGE, looked_at: int = LO
     return met.select((F.col("t") + tile.cast("long") * 64).alias("t"), "key", "node", "n", "label", side.alias("side"), *wide)
 
 
-def _candidates(nodes: DataFrame, bands: int, pairs, whole: bool = True) -> DataFrame:
-    """Different pairs (a, b) of nodes (node, n, label, keys, f0, ...) that share one of the first bands; without ``whole``, no tiles of two parts."""
-    dealt = _dealt(nodes, bands)
-    dealt = (dealt if whole else dealt.where("side = 0")).repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
-    return common.written(dealt.mapInArrow(lambda batches: _runs(batches, pairs), "a long, b long").distinct(), "similar-pairs")
+def _met(nodes: DataFrame, bands: int, crowded: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    dealt = _dealt(nodes, bands, crowded)
+    return (dealt if whole else dealt.where("side = 0")).repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
+
+
+def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each node and the head of its star under the first bands."""
+    pairs = _star_pairs(similarity)
+    met = _met(nodes, FIRST_BANDS, whole=False)
+    return common.written(met.mapInArrow(lambda batches: _runs(batches, pairs), "a long, b long").distinct(), "similar-stars")
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Different pairs (a, b) of nodes (node, n, label, keys, low, f0, ...) of different labels that may have the similarity."""
+    radius = similar_radius(similarity)
+    few, many = _cross_pairs(similarity, radius), _cross_pairs(similarity, radius, least_agreeing(similarity))
+    found = _met(nodes, BANDS).mapInArrow(lambda batches: _runs(batches, few, CROWD), "a long, b long, kind int")
+    found = common.written(found.distinct(), "similar-pairs")
+    pairs = found.where("kind = 0").select("a", "b")
+    # A tile's number is left out again: the second pass parts large keys anew.
+    crowded = common.written(found.where("kind = 1").select((F.col("a") % 64).cast("int").alias("t"), F.col("b").alias("key")).distinct(), "similar-crowded")
+    if not crowded.limit(1).count():
+        return pairs
+    more = _met(nodes, BANDS, crowded).mapInArrow(lambda batches: _runs(batches, many), "a long, b long")
+    return common.written(pairs.unionByName(more).distinct(), "similar-pairs")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -541,22 +612,23 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            made = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            least = [minima(x) for x in sets]
+            made = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([_keys_of(x) for x in least], pa.list_(pa.int64())), pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())]
             prints = np.array([wide_fingerprint(x) for x in sets], np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(pa.array(prints[:, i]) for i in range(WIDE))], names=["row_key", "id", "s1", "s2", "n", "keys", *wide])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(pa.array(prints[:, i]) for i in range(WIDE))], names=["row_key", "id", "s1", "s2", "n", "keys", "low", *wide])
 
     common.bound_batches(docs.sparkSession)
     names, wide = ["s1", "s2"], [f"f{i}" for i in range(WIDE)]
     picked = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
-    prints = common.written(picked.mapInArrow(run, "row_key long, id long, s1 long, s2 long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in wide)), "similar-prints")
-    firsts = prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first"), *[F.any_value(x).alias(x) for x in ("n", "keys", *wide)])
-    firsts = common.written(firsts.select("first", F.col("first.row_key").alias("node"), *names, "n", "keys", *wide), "similar-distinct")
+    prints = common.written(picked.mapInArrow(run, "row_key long, id long, s1 long, s2 long, n long, keys array<long>, low binary, " + ", ".join(f"{x} long" for x in wide)), "similar-prints")
+    firsts = prints.groupBy(*names).agg(F.min(F.struct("id", "row_key")).alias("first"), *[F.any_value(x).alias(x) for x in ("n", "keys", "low", *wide)])
+    firsts = common.written(firsts.select("first", F.col("first.row_key").alias("node"), *names, "n", "keys", "low", *wide), "similar-distinct")
     texts = picked.select("row_key", "text")
     # Large groups of copies are joined by few pairs first, so that what is listed in full is between groups.
-    stars = _verified(_candidates(firsts.withColumn("label", F.col("node")), FIRST_BANDS, _star_pairs(similarity), whole=False), texts, words, similarity)
+    stars = _verified(_stars(firsts.withColumn("label", F.col("node")), similarity), texts, words, similarity)
     labels = components(stars)
-    labelled = firsts.select("node", "n", "keys", *wide).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _verified(_candidates(labelled, BANDS, _cross_pairs(similarity, similar_radius(similarity))), texts, words, similarity)
+    labelled = firsts.select("node", "n", "keys", "low", *wide).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _verified(_candidates(labelled, similarity), texts, words, similarity)
     heads = _heads(components(stars.unionByName(rest)), firsts.select("node", "first"))
     head = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first"))
     classes = common.written(firsts.join(heads, "node", "left").select(*names, head["id"].alias("first_id"), head["row_key"].alias("first_key")), "similar-classes")

@@ -630,7 +630,7 @@ def test_held_out_accuracy(spark):
 
 def test_line_runs_are_compacted_to_a_second_level(spark, monkeypatch):
     names, store = [], linededup.LineRuns.stored
-    monkeypatch.setattr(linededup.LineRuns, "stored", lambda self, run, name: names.append(name) or store(self, run, name))
+    monkeypatch.setattr(linededup.LineRuns, "stored", lambda self, run, name, *path: names.append(name) or store(self, run, name, *path))
     docs = spark.createDataFrame([(i, f"a line of document {i}\na line that all share") for i in range(90)], "doc_id long, text string")
     got = linededup.dedup(docs).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {i: int(i > 0) for i in range(90)}
@@ -659,3 +659,24 @@ def test_many_shared_lines_take_linear_time(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in linededup.dedup(docs, batches=2).collect()}
     assert got[2] == (200_001, 200_000, "one own line") and got[1][1] == 0 and got[3] == (1, 0, "")
     assert time.monotonic() - start < 120
+
+
+def test_crowded_keys_are_compared_by_minhash_too(spark):
+    """Many texts under one key, alike but below the threshold: groups are those of brute force and few pairs are listed."""
+    rng = np.random.default_rng(21)
+    base = [f"v{x}" for x in rng.integers(0, 50_000, 150)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 15)), replace=False):
+            w[at] = f"c{i}-{at}"
+        texts[i] = w
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    order = sorted(texts)
+    group = _classes([sets[i] for i in order], lambda a, b: _jaccard(a, b) >= 0.8)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {x.id: x.first_id for x in simhash.similar(docs).collect()}
+    assert [got[i] for i in order] == group and len(set(group)) > 20
+    values = [simhash.minima(simhash.shingle_set(" ".join(texts[i]))) for i in order]
+    near = [(a, b) for a in range(150) for b in range(a) if _jaccard(sets[a], sets[b]) >= 0.8]
+    assert all((values[a] == values[b]).sum() >= simhash.least_agreeing() for a, b in near)
