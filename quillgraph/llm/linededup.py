@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 LEAST_CHARS = 10
-BATCHES = 9
-FANOUT = 3
+BATCHES = 6
+FANOUT = 2
 _LAST = (1 << 63) - 1
 
 
@@ -56,10 +56,10 @@ class LineRuns:
             out = run if out is None else out.unionByName(run)
         return out
 
-    def stored(self, run: DataFrame, name: str) -> DataFrame:
-        """A run, already dealt out by key, as a bucketed and sorted table."""
+    def stored(self, run: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        """A run, already dealt out by key, as a bucketed and sorted table, one file a bucket."""
         table = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-        path = common.scratch_path(self.spark, name)
+        path = path or common.scratch_path(self.spark, name)
         run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
         self.names.append(table)
         return self.spark.table(table)
@@ -82,7 +82,7 @@ class LineRuns:
             self.levels[depth].append(run)
             if len(self.levels[depth]) < self.fanout:
                 return
-            # Runs are disjoint, so a full outer join of buckets is their sorted merge.
+            # Runs are disjoint and bucketed alike, so a full outer join of buckets is their sorted merge.
             merged = self.levels[depth][0]
             for other in self.levels[depth][1:]:
                 merged = merged.join(other.hint("merge"), ["h1", "h2"], "full")
@@ -105,11 +105,13 @@ def _bounds(ids: DataFrame, batches: int) -> list[int]:
 
 def mark_batch(lines: DataFrame, runs: LineRuns) -> DataFrame:
     """Dropped lines (id, text_key, pos) of a batch (id, text_key, pos, h1, h2); the runs then hold its keys too."""
-    lines = runs.dealt(lines)
-    keys = lines.groupBy("h1", "h2").agg(F.min("id").alias("first_id"))
-    new = runs.stored(runs.unseen(keys), "line-run-0")
-    runs.add(new.select("h1", "h2"))
+    # Keys are combined before they are dealt out, so a line that very many documents hold is a few rows.
+    keys = runs.dealt(lines.groupBy("h1", "h2").agg(F.min("id").alias("first_id")))
+    path = common.scratch_path(runs.spark, "line-run-0")
+    runs.add(runs.stored(runs.unseen(keys), "line-run-0", path).select("h1", "h2"))
     # A key stays in one place only: at the smallest id of the batch, if no earlier batch has it.
+    # The batch's own new keys are read as a plain table, so that Spark can split this join at such a line.
+    new = runs.spark.read.schema(keys.schema).parquet(path)
     met = lines.join(new.hint("merge"), ["h1", "h2"], "left")
     return met.where(F.col("first_id").isNull() | (F.col("id") > F.col("first_id"))).select("id", "text_key", "pos")
 
