@@ -205,16 +205,30 @@ def blocks_of(maps: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.join(ids, ["doc_id", "block_id"], "left_semi")
 
 
-def heading_descent(maps: DataFrame, title: str, depth: int = 6) -> DataFrame:
-    """The first map of a title in each document and all below it, each title once."""
-    first = maps.where(F.col("heading_title") == title).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("heading_level", "heading_title"))).where("n = 1").drop("n")
-    seen = first
-    layer = first
-    for _ in range(depth):
-        above = layer.select(F.col("doc_id"), F.col("heading_title").alias("parent_heading")).distinct()
-        layer = maps.join(above, ["doc_id", "parent_heading"]).select(*maps.columns).join(seen.select("doc_id", "heading_title", "heading_level"), ["doc_id", "heading_title", "heading_level"], "left_anti").select(*maps.columns)
-        seen = seen.unionByName(layer)
-    return seen
+def heading_descent(maps: DataFrame, title: str) -> DataFrame:
+    """The first map of each document whose title holds a text, and all below it to any depth, each title and level once."""
+    keys = ["doc_id", "heading_title", "heading_level"]
+    first = like_heading(maps, title).select(*keys).withColumn("first", F.row_number().over(Window.partitionBy("doc_id").orderBy("heading_level", "heading_title")) == 1).where("first")
+    known = maps.join(first, keys, "left").select(*keys, "parent_heading", F.coalesce("first", F.lit(False)).alias("first"))
+
+    def below(frame):
+        """The headings of one document that are reached; what was reached is not entered again."""
+        children: dict = {}
+        for row in frame.itertuples(index=False):
+            if row.parent_heading is not None:
+                children.setdefault(row.parent_heading, []).append((row.heading_title, row.heading_level))
+        reached = dict.fromkeys((r.heading_title, r.heading_level) for r in frame.itertuples(index=False) if r.first)
+        todo = [t for t, _ in reached]
+        while todo:
+            for child in children.pop(todo.pop(), []):
+                if child not in reached:
+                    reached[child] = None
+                    todo.append(child[0])
+        hit = [(r.heading_title, r.heading_level) in reached for r in frame.itertuples(index=False)]
+        return frame[hit][keys].drop_duplicates()
+
+    found = known.groupBy("doc_id").applyInPandas(below, known.select(*keys).schema)
+    return maps.join(found, keys, "left_semi").dropDuplicates(keys)
 
 
 def toc_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:

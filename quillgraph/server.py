@@ -23,12 +23,19 @@ TOOLS: dict[str, dict[str, Any]] = {
 
 
 def _rows(result: Any, most: int = 1000) -> list[dict]:
+    """The rows of a result; a table with more than ``most`` ends with a row that says so."""
     frames = result if isinstance(result, tuple) else [result] if result is not None else []
-    return [json.loads(line) for frame in frames for line in frame.limit(most).toJSON().collect()]
+    out: list[dict] = []
+    for frame in frames:
+        lines = frame.limit(most + 1).toJSON().collect()
+        out += [json.loads(line) for line in lines[:most]]
+        if len(lines) > most:
+            out.append({"truncated": True, "shown": most})
+    return out
 
 
 def call(kb: KnowledgeBase, tool: str, arguments: dict[str, Any]) -> list[dict]:
-    """Run a tool; at most a thousand rows of a table are shown."""
+    """Run a tool; at most a thousand rows of a table are shown, and a last row says if there are more."""
     given = dict(arguments)
     if tool not in TOOLS:
         raise ValueError(f"unknown tool {tool}")

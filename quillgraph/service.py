@@ -81,8 +81,14 @@ class KnowledgeBase:
         out = fs.create(fresh, True)
         out.write(bytearray(at.encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(fresh, p)
+        self._swap(fs.makeQualified(fresh), fs.makeQualified(p))
+
+    def _swap(self, fresh, p) -> None:
+        """Rename over the pointer in one step, so that a reader finds the old or the new snapshot at any time."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, p, how)
 
     def append(self, name: str, rows: DataFrame) -> None:
         self.replace(name, self.table(name).unionByName(rows, allowMissingColumns=True))

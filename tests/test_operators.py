@@ -233,3 +233,17 @@ def test_graph_round_trip(spark, tmp_path):
     files.save_graph(e, rel, str(tmp_path / "g"))
     e2, rel2 = files.load_graph(spark, str(tmp_path / "g"))
     assert ids(e, "name") == ids(e2, "name") and rel.count() == rel2.count()
+
+
+def test_headings_of_nine_levels_and_a_cycle(spark):
+    """All generations come out, by a recursive query over the same rows."""
+    import duckdb
+
+    rows = [(1, f"level {i} of it", i, f"level {i - 1} of it") for i in range(1, 10)] + [(1, "aside", 2, "elsewhere"), (2, "level 1 of it", 1, "level 2 of it"), (2, "level 2 of it", 2, "level 1 of it"), (3, "none", 1, None)]
+    maps = spark.createDataFrame(rows, "doc_id long, heading_title string, heading_level int, parent_heading string")
+    got = {(r.doc_id, r.heading_title, r.heading_level) for r in md.heading_descent(maps, "EVEL 1").collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE maps (doc_id BIGINT, t VARCHAR, l INT, p VARCHAR)")
+    c.executemany("INSERT INTO maps VALUES (?, ?, ?, ?)", rows)
+    want = c.execute("WITH RECURSIVE d AS (SELECT doc_id, t, l FROM maps WHERE t ILIKE '%evel 1%' UNION SELECT m.doc_id, m.t, m.l FROM maps m JOIN d ON m.doc_id = d.doc_id AND m.p = d.t) SELECT * FROM d").fetchall()
+    assert got == set(want) and len(got) == 11

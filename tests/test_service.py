@@ -108,3 +108,27 @@ def test_office_files(spark):
     xlsx = packed(xl__sharedStrings=f"<sst {m}><si><t>name</t></si></sst>", xl__worksheets__sheet1=f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c><v>7</v></c></row></sheetData></worksheet>')
     files = spark.createDataFrame([("x.docx", docx), ("y.xlsx", xlsx), ("z.docx", b"bad"), ("n.txt", b"")], "path string, content binary")
     assert {r.path: r.text for r in office_text(files).collect()} == {"x.docx": "Hello\na | b", "y.xlsx": "name | 7", "z.docx": None, "n.txt": None}
+
+
+def test_a_write_that_fails_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb2"))
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    two = spark.createDataFrame([(2, [0.0, 1.0])], "id long, embedding array<float>")
+    kb.replace("vectors", one)
+
+    def stop(*_):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(KnowledgeBase, "_swap", stop)
+        with pytest.raises(OSError):
+            kb.append("vectors", two)
+    assert [r.id for r in kb.table("vectors").collect()] == [1]
+    kb.append("vectors", two)
+    assert sorted(r.id for r in kb.table("vectors").collect()) == [1, 2]
+
+
+def test_long_answers_say_that_they_are_cut(spark):
+    from quillgraph.server import _rows
+
+    assert _rows(spark.range(5), 3)[3:] == [{"truncated": True, "shown": 3}] and len(_rows(spark.range(3), 3)) == 3
