@@ -22,10 +22,12 @@ plane in the same way, at a radius six deviations above the mean distance of a p
 the threshold; pairs within it are verified on the whole sets, and only verified pairs
 link.  Stars inside few bands join large groups first; then every pair of texts that
 shares any band and is not joined yet is compared, so nothing hangs on a link that
-verification refused.  Keys that more than ``CROWD`` texts share are compared in a second
-pass, whose rows also carry the low bytes of all MinHash values: where many texts are
+verification refused.  Keys that more than ``CROWD`` texts share are compared in later
+passes, whose rows also carry the low bytes of all MinHash values: where many texts are
 alike but below the threshold, the SimHash lets most pairs through, and the share of
-equal values, at four deviations below the threshold, keeps few of them.  A key of more than ``LARGE`` rows is met tile by tile: its rows
+equal values, at four deviations below the threshold, keeps few of them.  There each text
+is verified against its nearest partner first, and then only pairs that these links leave
+in different groups are listed, each under the first key that it shares.  A key of more than ``LARGE`` rows is met tile by tile: its rows
 are parted by hash and each two parts are compared in a task of their own, so a task
 holds ``LARGE`` rows of a key or so and no pair is left out.
 
@@ -445,15 +447,19 @@ def _runs(batches: Iterator[pa.RecordBatch], pairs, crowd: int | None = None) ->
         rows = np.flatnonzero(np.repeat(taken, sizes))
         sizes = sizes[taken]
         if len(rows):
-            for a, b in pairs((np.cumsum(sizes) - sizes).astype(np.int64), *(x[rows] for x in held[2:])):
+            for a, b in pairs((np.cumsum(sizes) - sizes).astype(np.int64), t[rows] % 64, *(x[rows] for x in held[2:])):
                 yield made(a, b, 0)
         held = [x[end:] for x in held]
 
 
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(a, b), np.minimum(a, b)
+
+
 def _star_pairs(similarity: float):
     """Each row of a run sorted by size with the first one that is large enough."""
 
-    def pairs(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, *_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(starts: np.ndarray, _bands: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, *_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         heads = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
         todo = np.arange(len(nodes))
         while len(todo):
@@ -471,20 +477,23 @@ def _star_pairs(similarity: float):
     return pairs
 
 
-def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | None = None):
+def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | None = None, nearest: bool = False):
     """Pairs of a run that are not of one label, whose sizes allow the similarity and whose SimHashes lie within the radius.
 
     Without a radius, no SimHash is looked at.  Rows are (node, size, label, side, SimHash words);
     in a tile of two parts of a run (sides 1 and 2) only rows of different sides are paired.
-    With ``agreeing``, the last column holds the low bytes of the MinHash values, of which so many have to agree.
+    With ``agreeing``, the last columns hold the low bytes of the MinHash values, of which so many have to agree,
+    and the keys of all bands: a pair comes out under the first band whose key it shares, and under no other.
+    With ``nearest``, only the pair of each row of a run and the partner that agrees with it in most values comes out.
     """
 
-    def pairs(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None = None, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(starts: np.ndarray, bands: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None = None, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         side = np.zeros(len(nodes), np.int64) if side is None else side
-        values = np.zeros((len(nodes), 0), np.uint8)
+        values, keys = np.zeros((len(nodes), 0), np.uint8), np.zeros((len(nodes), 0), np.int64)
         if agreeing is not None:
-            values = np.frombuffer(b"".join(words[-1]), np.uint8).reshape(len(nodes), -1)
-            words = words[:-1]
+            values = np.frombuffer(b"".join(words[-2]), np.uint8).reshape(len(nodes), -1)
+            keys = np.stack(words[-1])
+            words = words[:-2]
         fps = np.stack(words, axis=1).astype(np.uint64) if words else np.zeros((len(nodes), 1), np.uint64)
         # Runs of one label have nothing to pair.
         mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
@@ -494,7 +503,7 @@ def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | N
         rows = np.flatnonzero(np.repeat(mixed, lengths))
         lengths = lengths[mixed]
         starts = np.cumsum(lengths) - lengths
-        nodes, sizes, labels, side, fps, values = (x[rows] for x in (nodes, sizes, labels, side, fps, values))
+        bands, nodes, sizes, labels, side, fps, values, keys = (x[rows] for x in (bands, nodes, sizes, labels, side, fps, values, keys))
         run = np.repeat(np.arange(len(starts)), lengths)
         # Rows of a run's largest label come last and are asked, but do not ask.
         order = np.lexsort((labels, run))
@@ -507,7 +516,9 @@ def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | N
         np.minimum.at(tops, run, np.where(counts[group] == largest[run], group, len(counts)))
         major = group == tops[run]
         order = np.lexsort((nodes, sizes, major, run))
-        nodes, sizes, labels, side, fps, values, major = (x[order] for x in (nodes, sizes, labels, side, fps, values, major))
+        bands, nodes, sizes, labels, side, fps, values, keys, major = (x[order] for x in (bands, nodes, sizes, labels, side, fps, values, keys, major))
+        # The partner that agrees in most values, below the number of values that agree.
+        best = np.zeros(len(nodes), np.int64)
 
         def needed(q: np.ndarray, w: np.ndarray, heads: np.ndarray) -> np.ndarray:
             least, most = np.minimum.reduceat(sizes, heads), np.maximum.reduceat(sizes, heads)
@@ -520,12 +531,22 @@ def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | N
             small, large = np.minimum(sizes[q], sizes[w]), np.maximum(sizes[q], sizes[w])
             good = (q < w) & (labels[q] != labels[w]) & (small >= similarity * large - 1e-9) & ((side[q] == 0) | (side[q] != side[w]))
             q, w = q[good], w[good]
-            if agreeing is not None and len(q):
-                alike = np.concatenate([(values[q[i : i + 4096]] == values[w[i : i + 4096]]).sum(axis=1) for i in range(0, len(q), 4096)]) >= agreeing
-                q, w = q[alike], w[alike]
-            if len(q):
-                a, b = nodes[q], nodes[w]
-                yield np.maximum(a, b), np.minimum(a, b)
+            for i in range(0, len(q) if agreeing is not None else 0, 4096):
+                mine, other = q[i : i + 4096], w[i : i + 4096]
+                alike = (values[mine] == values[other]).sum(axis=1)
+                mine, other, alike = (x[alike >= agreeing] for x in (mine, other, alike))
+                if nearest:
+                    np.maximum.at(best, mine, alike << 32 | other)
+                    np.maximum.at(best, other, alike << 32 | mine)
+                    continue
+                first = (keys[mine] == keys[other]).argmax(axis=1) == bands[mine]
+                if first.any():
+                    yield _ordered(nodes[mine[first]], nodes[other[first]])
+            if agreeing is None and len(q):
+                yield _ordered(nodes[q], nodes[w])
+        if nearest and best.any():
+            rows = np.flatnonzero(best)
+            yield _ordered(nodes[rows], nodes[best[rows] & 0xFFFFFFFF])
 
     return pairs
 
@@ -533,15 +554,15 @@ def _cross_pairs(similarity: float, radius: int | None = None, agreeing: int | N
 def _dealt(nodes: DataFrame, bands: int, crowded: DataFrame | None = None, large: int = LARGE, looked_at: int = LOOKED_AT) -> DataFrame:
     """Rows (t, key, node, n, label, side, SimHash words) of nodes under each band's key, large keys parted into tiles.
 
-    With ``crowded`` keys (t, key), only rows under these, which also hold their MinHash values.
+    With ``crowded`` keys (t, key), only rows under these, which also hold their MinHash values and all their keys.
 
     Which keys are large is judged by one of ``looked_at`` nodes, chosen by hash.  Tiles
     change where pairs meet, never which: a key that is not found only makes a task hold more.
     """
     wide = [f"f{i}" for i in range(WIDE)]
-    keyed = nodes.select("node", "n", "label", *wide, *(["low"] if crowded is not None else []), F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
+    keyed = nodes.select("node", "n", "label", *wide, *(["low", "keys"] if crowded is not None else []), F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
     if crowded is not None:
-        wide = [*wide, "low"]
+        wide = [*wide, "low", "keys"]
         keyed = keyed.join(F.broadcast(crowded) if common.small_enough(crowded.count(), 32) else crowded, ["t", "key"], "left_semi")
     some = nodes.where(F.pmod(F.xxhash64(F.lit(11), F.col("node")), F.lit(looked_at)) == 0).select(F.posexplode(F.slice("keys", 1, bands)).alias("t", "key"))
     parts = (F.ceil(F.col("seen") * (2.0 * looked_at / large)) + 1).cast("int").alias("parts")
@@ -557,7 +578,8 @@ def _dealt(nodes: DataFrame, bands: int, crowded: DataFrame | None = None, large
 
 
 def _met(nodes: DataFrame, bands: int, crowded: DataFrame | None = None, whole: bool = True) -> DataFrame:
-    dealt = _dealt(nodes, bands, crowded)
+    # Rows of crowded keys are four times as wide.
+    dealt = _dealt(nodes, bands, crowded, LARGE if crowded is None else LARGE // 4)
     return (dealt if whole else dealt.where("side = 0")).repartition("t", "key").sortWithinPartitions("t", "key", "n", "node")
 
 
@@ -568,21 +590,6 @@ def _stars(nodes: DataFrame, similarity: float) -> DataFrame:
     return common.written(met.mapInArrow(lambda batches: _runs(batches, pairs), "a long, b long").distinct(), "similar-stars")
 
 
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Different pairs (a, b) of nodes (node, n, label, keys, low, f0, ...) of different labels that may have the similarity."""
-    radius = similar_radius(similarity)
-    few, many = _cross_pairs(similarity, radius), _cross_pairs(similarity, radius, least_agreeing(similarity))
-    found = _met(nodes, BANDS).mapInArrow(lambda batches: _runs(batches, few, CROWD), "a long, b long, kind int")
-    found = common.written(found.distinct(), "similar-pairs")
-    pairs = found.where("kind = 0").select("a", "b")
-    # A tile's number is left out again: the second pass parts large keys anew.
-    crowded = common.written(found.where("kind = 1").select((F.col("a") % 64).cast("int").alias("t"), F.col("b").alias("key")).distinct(), "similar-crowded")
-    if not crowded.limit(1).count():
-        return pairs
-    more = _met(nodes, BANDS, crowded).mapInArrow(lambda batches: _runs(batches, many), "a long, b long")
-    return common.written(pairs.unionByName(more).distinct(), "similar-pairs")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs of row keys (a, b) whose texts (row_key, text) have the Jaccard similarity."""
 
@@ -601,6 +608,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return common.written(met.select("a", "b"), "similar-links")
 
 
+def _links(nodes: DataFrame, stars: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified pairs (a, b) of nodes (node, n, keys, low, f0, ...) that join, with those of ``stars``, all that have the similarity.
+
+    Under crowded keys each text meets its nearest partner first.  What these pairs and
+    the stars join is one label from then on, and only pairs of different labels are
+    listed in full, so texts that hang together in one group are not listed against each other.
+    """
+    radius, agreeing = similar_radius(similarity), least_agreeing(similarity)
+    few = _cross_pairs(similarity, radius)
+    one, many = _cross_pairs(similarity, radius, agreeing, nearest=True), _cross_pairs(similarity, radius, agreeing)
+    labelled = _labelled(nodes, components(stars))
+    found = _met(labelled, BANDS).mapInArrow(lambda batches: _runs(batches, few, CROWD), "a long, b long, kind int")
+    found = common.written(found.distinct(), "similar-pairs")
+    pairs = found.where("kind = 0").select("a", "b")
+    # A tile's number is left out again: the later passes part large keys anew.
+    crowded = common.written(found.where("kind = 1").select((F.col("a") % 64).cast("int").alias("t"), F.col("b").alias("key")).distinct(), "similar-crowded")
+    if not crowded.limit(1).count():
+        return _verified(pairs, texts, words, similarity)
+    nearest = _met(labelled, BANDS, crowded).mapInArrow(lambda batches: _runs(batches, one), "a long, b long")
+    links = _verified(common.written(pairs.unionByName(nearest).distinct(), "similar-nearest"), texts, words, similarity)
+    labelled = _labelled(nodes, components(stars.unionByName(links)))
+    rest = _met(labelled, BANDS, crowded).mapInArrow(lambda batches: _runs(batches, many), "a long, b long")
+    # Two texts share one first key and, there, one tile: no pair is listed twice.
+    return links.unionByName(_verified(common.written(rest, "similar-rest"), texts, words, similarity))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes with the label of their component, or their own number where they have no link."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_key, id, first_id, first_key): each row and the first row of its group of similar texts, by id and row key.
 
@@ -626,9 +664,7 @@ def similar(docs: DataFrame, words: int = SIMILAR_SHINGLE, similarity: float = S
     texts = picked.select("row_key", "text")
     # Large groups of copies are joined by few pairs first, so that what is listed in full is between groups.
     stars = _verified(_stars(firsts.withColumn("label", F.col("node")), similarity), texts, words, similarity)
-    labels = components(stars)
-    labelled = firsts.select("node", "n", "keys", "low", *wide).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _verified(_candidates(labelled, similarity), texts, words, similarity)
+    rest = _links(firsts.select("node", "n", "keys", "low", *wide), stars, texts, words, similarity)
     heads = _heads(components(stars.unionByName(rest)), firsts.select("node", "first"))
     head = F.when(F.col("linked"), F.col("head")).otherwise(F.col("first"))
     classes = common.written(firsts.join(heads, "node", "left").select(*names, head["id"].alias("first_id"), head["row_key"].alias("first_key")), "similar-classes")

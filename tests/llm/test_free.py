@@ -680,3 +680,19 @@ def test_crowded_keys_are_compared_by_minhash_too(spark):
     values = [simhash.minima(simhash.shingle_set(" ".join(texts[i]))) for i in order]
     near = [(a, b) for a in range(150) for b in range(a) if _jaccard(sets[a], sets[b]) >= 0.8]
     assert all((values[a] == values[b]).sum() >= simhash.least_agreeing() for a, b in near)
+
+
+def test_crowded_pairs_come_out_once():
+    """Under the first shared key only; and, of nearest partners, the one that agrees in most values."""
+    cross = lambda **more: simhash._cross_pairs(0.5, 64 * simhash.WIDE, 2, **more)
+    starts, nodes, ones = np.array([0]), np.array([5, 6, 7]), np.ones(3, np.int64)
+    low = np.array([bytes([1, 1, 1, 9]), bytes([1, 1, 1, 8]), bytes([1, 1, 2, 9])], object)
+    keys = np.array([[3, 4], [2, 4], [3, 4]], np.int64)
+    held = np.empty(3, object)
+    held[:] = list(keys)
+    words = [np.zeros(3, np.int64)] * simhash.WIDE
+    seen = lambda pairs: sorted((int(a), int(b)) for x, y in pairs for a, b in zip(x, y, strict=True))
+    run = lambda pairs, band: seen(pairs(starts, np.full(3, band), nodes, ones, nodes, np.zeros(3, np.int64), *words, low, held))
+    assert run(cross(), 1) == [(6, 5), (7, 6)]
+    assert seen(cross()(starts, np.zeros(2, np.int64), nodes[[0, 2]], ones[:2], nodes[[0, 2]], np.zeros(2, np.int64), *[w[:2] for w in words], low[[0, 2]], held[[0, 2]])) == [(7, 5)]
+    assert set(run(cross(nearest=True), 1)) <= {(6, 5), (7, 5)} and (7, 5) in run(cross(nearest=True), 1)
