@@ -1,23 +1,13 @@
-"""What the training-data operators share: word rules, scratch tables and size checks.
-
-Scratch tables are Parquet folders below ``spark.checkpoint.dir``.  Reading a
-written table again cuts lineage, survives lost executors and gives every later
-pass the same rows.  The folders go when the driver ends, or on ``clean_up``.
-"""
+"""What the training-data operators share: word rules, scratch tables (of ``quillgraph.scratch``) and size checks."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgraph.shipping import ship
+from quillgraph.scratch import ARROW_BYTES, ARROW_ROWS, bound_batches, clean_up, scratch_path, shared_dir, written  # noqa: F401
 
 #: White space and words, as the data contracts define them (fixed values).
 SPACE = r"[\x20\x09-\x0D]"
@@ -27,51 +17,6 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Nothing larger than this is ever broadcast, whatever the session's settings.
 BROADCAST_BYTES = 16 << 20
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="quillgraph-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(clean_up)
-    _scratch.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clean_up() -> None:
-    """Remove every scratch table of this driver."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is None:
-                continue
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may have gone first
-            continue
-
 
 def text_of(column: str | Column) -> Column:
     """A text column with null read as empty."""
@@ -99,30 +44,6 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-#: Arrow batches of texts: bytes and rows at most.  JVM and Python each hold a few of them a task.
-ARROW_BYTES, ARROW_ROWS = 8 << 20, 2000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Before Python runs on executors: they get the package, and Arrow batches of this session stay small, unless it has smaller ones.
-
-    With Spark's 64 MB a batch, a task needs some hundred MB outside the heap.
-    """
-    ship(spark)
-    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > ARROW_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if rows <= 0 or rows > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def _bytes(setting: str) -> int:
-    number = re.match(r"-?\d+", setting)
-    unit = {"k": 10, "m": 20, "g": 30}.get(setting.lower().rstrip("b")[-1:], 0)
-    value = int(number[0]) << unit if number else 0
-    return value if value > 0 else 1 << 62
-
-
 def small_enough(rows: int, bytes_a_row: int) -> bool:
     """Whether a table of counted rows may be broadcast."""
     return rows * bytes_a_row <= BROADCAST_BYTES

@@ -1,12 +1,15 @@
 """Operators on small hand-written inputs."""
 
+import math
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking
-from quillgraph.functions.text import bm25_tokens
+from quillgraph.functions.text import bm25_tokens, tokens_of
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators import graph as g
 from quillgraph.operators import markdown as md
@@ -247,3 +250,89 @@ def test_headings_of_nine_levels_and_a_cycle(spark):
     c.executemany("INSERT INTO maps VALUES (?, ?, ?, ?)", rows)
     want = c.execute("WITH RECURSIVE d AS (SELECT doc_id, t, l FROM maps WHERE t ILIKE '%evel 1%' UNION SELECT m.doc_id, m.t, m.l FROM maps m JOIN d ON m.doc_id = d.doc_id AND m.p = d.t) SELECT * FROM d").fetchall()
     assert got == set(want) and len(got) == 11
+
+
+# -- what grows with the corpus
+
+
+ODD_TEXTS = [None, "", "  \t\n", "SPI_reset ä, x-y!", "中foo文件", "a b c \x1c d", "½ ² ५ é Ⅷ", "€100 — „q“ 中, 文字", "İSTANBUL ΟΔΟΣ 😀", "_ __ a_b 1_2 #$%&"]
+
+
+def test_tokens_are_the_same_in_both_engines(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, t string")
+    got = rows.select("id", bm25_tokens(F.col("t")).alias("t"), F.lower("t").cast("binary").alias("low")).collect()
+    assert [sorted(x.t) for x in got] == [sorted(tokens_of(bytes(x.low) if x.low is not None else None)) for x in got]
+
+
+def _plain_bm25(rows, queries, k):
+    """By hand: rows of one id and length are one block, as postings are grouped so."""
+    tokens = [(i, tokens_of(t.lower().encode() if t else None)) for i, t in rows]
+    n, avg = len(tokens), sum(len(t) for _, t in tokens) / len(tokens)
+    post = Counter((i, len(t), x) for i, t in tokens for x in t)
+    df = Counter(x for _, _, x in {(j, 0, x) for j, (_, t) in enumerate(tokens) for x in t})
+    raw = {x: math.log(n - d + 0.5) - math.log(d + 0.5) for x, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    out = {}
+    for q, text in queries:
+        scores = Counter()
+        for x, qtf in Counter(tokens_of(text.lower().encode())).items():
+            for (i, dl, y), tf in post.items():
+                if x == y:
+                    scores[i] += qtf * (raw[x] if raw[x] >= 0 else 0.25 * mean) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
+        best = sorted(((round(s, 6), i is not None, i if i is not None else 0) for i, s in scores.items() if round(s, 6) > 0), reverse=True)[:k]
+        out[q] = [i if some else None for _, some, i in best]
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"QUERY_TERMS": 7, "DENSE_BYTES": 64, "SCORE_BYTES": 64, "TERM_ROWS": 5, "VOCABULARY": 3}])
+def test_bm25_by_hand_with_repeated_ids(spark, monkeypatch, bounds):
+    """Also with blocks of queries, dense matrices and batches of a few rows; the index finds the same."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(r, name, value)
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(words[(i * j) % 10] if j % 3 else words[i % 7] for j in range(1, 3 + i % 5))) for i in range(60)]
+    rows += [(7, rows[7][1]), (8, "alpha alpha beta"), (None, "alpha kappa"), (None, "kappa kappa kappa"), (61, None)]
+    queries = [(q, " ".join(words[(q + j) % 10] for j in range(3))) for q in range(12)]
+    blocks = spark.createDataFrame(rows, "id long, content string").repartition(5)
+    asked = spark.createDataFrame(queries, "qid long, text string")
+    want = _plain_bm25(rows, queries, 4)
+    df, stats = r.lexicon(blocks)
+    index = (r.postings(blocks), r.inverse_frequencies(df, stats), stats)
+    for got in (r.bm25_search(blocks, asked, 4), r.bm25_search(blocks, asked, 4, index=index)):
+        hits = {q: [] for q, _ in queries}
+        for x in got.orderBy("qid", "rank").collect():
+            hits[x.qid].append(x.id)
+        assert hits == want
+
+
+def _moved(df):
+    """Rows of each exchange of the executed plan."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_search_moves_no_pairs_of_block_and_query(spark):
+    """Every block meets every query; 400 x 40 pairs, of which a task sends 3 a query."""
+    blocks = spark.range(400).selectExpr("id", "concat('common word', id % 9, ' common') AS content", "array(float(id), 1f) AS embedding").repartition(2)
+    asked = spark.range(40).selectExpr("id AS qid", "concat('common word', id % 9) AS text", "array(1f, float(id)) AS embedding")
+    assert max(_moved(r.bm25_search(blocks, asked, 3))) <= 400
+    assert max(_moved(r.vector_search(blocks, asked, 3))) <= 400
+    assert max([0, *_moved(r.postings(blocks))]) <= 400
+
+
+def test_containing_finds_items_without_inner_words(spark):
+    docs = [(1, "one two three four"), (2, "xone two threex"), (3, None), (4, "two"), (5, "one  two three")]
+    items = [(0, "one two three"), (1, "two"), (2, ""), (3, "e t"), (4, None), (5, "one  two"), (6, "e two th"), (7, "one two three four five")]
+    got = r.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "qid long, question string"))
+    assert ids(got, "qid", "id") == sorted((q, i) for q, x in items for i, t in docs if x is not None and t is not None and x in t)
