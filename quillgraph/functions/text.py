@@ -100,10 +100,9 @@ def doc_context(title: Column, product: Column) -> Column:
 
 def repaired_json(raw: Column, schema: str) -> Column:
     """Parse model output: fences off, then as it is, then without trailing commas; null if neither parses."""
+    parsed = lambda s, other: F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, schema)).otherwise(other)
     bare = F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*|\s*```$", "")
-    fixed = F.regexp_replace(bare, r",(\s*[}\]])", "$1")
-    good = lambda s: F.try_parse_json(s).isNotNull()
-    return F.when(good(bare), F.from_json(bare, schema)).when(good(fixed), F.from_json(fixed, schema))
+    return let(bare, lambda s: parsed(s, let(F.regexp_replace(s, r",(\s*[}\]])", "$1"), lambda t: parsed(t, F.lit(None)))))
 
 
 def summarized(value: Column, most: int = 200) -> Column:

@@ -10,9 +10,9 @@ from quillgraph.functions.text import repaired_json
 from quillgraph.shipping import ship
 
 
-def _known(df: DataFrame, column: str, names: list[str]) -> DataFrame:
-    vocabulary = df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
-    return df.join(F.broadcast(vocabulary), column, "left_semi")
+def _once(value: Column) -> Column:
+    """A value that is computed once a row: filters and projections after it are not merged into its expression."""
+    return F.explode(F.array(value))
 
 
 def extract_results(lines: DataFrame, chapters: DataFrame, *, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -23,12 +23,12 @@ def extract_results(lines: DataFrame, chapters: DataFrame, *, line_col: str = "v
     entities without a name are dropped; ends of relations are not looked at.
     """
     row = F.from_json(line_col, schema.RESULT_LINE)
-    raw = lines.select("seq", row.alias("r")).select("seq", F.col("r.custom_id").alias("custom_id"), F.get(F.col("r.response.body.choices"), F.lit(0))["message"]["content"].alias("content"))
-    parsed = raw.where(F.col("content").isNotNull()).withColumn("x", repaired_json(F.col("content"), schema.EXTRACTION)).where(F.col("x").isNotNull()).join(chapters, "custom_id", "left")
+    raw = lines.select("seq", _once(row).alias("r")).select("seq", F.col("r.custom_id").alias("custom_id"), F.get(F.col("r.response.body.choices"), F.lit(0))["message"]["content"].alias("content"))
+    parsed = raw.where(F.col("content").isNotNull()).select("seq", "custom_id", _once(repaired_json(F.col("content"), schema.EXTRACTION)).alias("x")).where(F.col("x").isNotNull()).join(chapters, "custom_id", "left")
     entities = parsed.select("seq", "chapter", F.posexplode("x.entities").alias("pos", "e")).select("seq", "pos", "chapter", F.col("e.type").alias("entity_type"), F.col("e.name").alias("name"), F.col("e.properties").alias("properties"))
-    entities = _known(entities.where(F.coalesce("name", F.lit("")) != ""), "entity_type", schema.NODE_TYPES)
     relations = parsed.select("seq", "chapter", F.posexplode("x.relations").alias("pos", "e")).select("seq", "pos", "chapter", "e.from_type", "e.from_name", "e.rel_type", "e.to_type", "e.to_name")
-    return entities, _known(relations, "rel_type", schema.REL_TYPES)
+    named = F.coalesce("name", F.lit("")) != ""
+    return entities.where(named & F.col("entity_type").isin(schema.NODE_TYPES)), relations.where(F.col("rel_type").isin(schema.REL_TYPES))
 
 
 def merge_in_document(entities: DataFrame) -> DataFrame:

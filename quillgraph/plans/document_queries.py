@@ -12,7 +12,7 @@ from quillgraph.operators import markdown as md
 from quillgraph.operators import status as st
 from quillgraph.plans import fixtures as fx
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import dealt, table
 from quillgraph.sources import files
 
 _TURNS = "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, '## turn ' || turn || ' ' || role || chr(10) || chr(10) || text) AS n, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations"
@@ -173,8 +173,8 @@ def _answers(spark, sf_dir):
     content = F.when(key % 11 == 0, "sorry").when(key % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     choice = F.array(F.struct(F.struct(content.alias("content")).alias("message")))
     line = F.to_json(F.struct(F.concat(F.lit("r"), key.cast("string")).alias("custom_id"), F.struct(F.lit(200).alias("status_code"), F.struct(choice.alias("choices")).alias("body")).alias("response")))
-    parts = table(spark, sf_dir, "part")
-    return parts.select(key.alias("seq"), line.alias("value")), parts.select(F.concat(F.lit("r"), key.cast("string")).alias("custom_id"), F.concat(F.lit("ch"), (key % 8).cast("string")).alias("chapter"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return dealt(parts).select(key.alias("seq"), line.alias("value")), parts.select(F.concat(F.lit("r"), key.cast("string")).alias("custom_id"), F.concat(F.lit("ch"), (key % 8).cast("string")).alias("chapter"))
 
 
 @query("extract_results", "SELECT p_partkey AS seq, 0 AS pos, 'Module' AS entity_type, 'Part#' || p_partkey AS name, 'ch' || p_partkey % 8 AS chapter, p_brand AS brand FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 UNION ALL SELECT p_partkey, 1, 'Signal', 'S' || p_partkey % 10, 'ch' || p_partkey % 8, NULL FROM part WHERE p_partkey % 11 <> 0")

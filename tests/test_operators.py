@@ -336,3 +336,15 @@ def test_containing_finds_items_without_inner_words(spark):
     items = [(0, "one two three"), (1, "two"), (2, ""), (3, "e t"), (4, None), (5, "one  two"), (6, "e two th"), (7, "one two three four five")]
     got = r.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "qid long, question string"))
     assert ids(got, "qid", "id") == sorted((q, i) for q, x in items for i, t in docs if x is not None and t is not None and x in t)
+
+
+def test_answers_are_parsed_in_many_tasks_and_once(spark):
+    """Rows of one row group are dealt out, and no filter repeats the parsing."""
+    from conftest import DATA
+    from quillgraph.plans.document_queries import _answers as answers
+    from quillgraph.operators import extraction as ex
+
+    lines, chapters = answers(spark, DATA)
+    assert lines.rdd.getNumPartitions() >= 4
+    for df in ex.extract_results(lines, chapters):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
