@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.functions.text import repaired_json
+from quillgraph.session import parts_of
 from quillgraph.shipping import ship
 
 
@@ -51,17 +52,16 @@ def section_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations that touch an entity of a section, by type and name or by bare name.
 
     ``entities`` (doc_id, section, entity_type, name), ``relations`` with doc_id.  The
-    four ways are equi-joins, united.
+    four ways are equi-joins, united, in partitions in proportion to the relations.
     """
-    cols = relations.columns
+    cols, n = relations.columns, parts_of(relations)
     out = None
     for end in ("from", "to"):
-        typed = relations.join(entities.select("doc_id", "section", F.col("entity_type").alias(f"{end}_type"), F.col("name").alias(f"{end}_name")).distinct(), ["doc_id", f"{end}_type", f"{end}_name"])
-        bare = relations.join(entities.select("doc_id", "section", F.col("name").alias(f"{end}_name")).distinct(), ["doc_id", f"{end}_name"])
-        for part in (typed, bare):
-            part = part.select("section", *cols)
+        for keys in (["doc_id", f"{end}_type", f"{end}_name"], ["doc_id", f"{end}_name"]):
+            named = entities.select("doc_id", "section", F.col("entity_type").alias(f"{end}_type"), F.col("name").alias(f"{end}_name")).select("section", *keys)
+            part = relations.repartition(n, *keys).join(named.repartition(n, *keys).distinct(), keys).select("section", *cols)
             out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.repartition(4 * n, "section", *cols).distinct()
 
 
 def pending_requests(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.retrieval import BROADCAST_BYTES
+from quillgraph.scratch import written
+from quillgraph.session import dealt, parts_of
 from quillgraph.shipping import ship
 
 ENTITY_KEY = ["entity_type", "name"]
@@ -70,7 +73,7 @@ def _fold(keys: list[str]):
     return run
 
 
-def _merged_properties(versions: DataFrame, keys: list[str]) -> DataFrame:
+def _merged_properties(versions: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Events of each (key, property) in order of ``merge_seq``, folded.
 
     A version that lacks a property still replaces its document's snapshot, so every
@@ -81,12 +84,17 @@ def _merged_properties(versions: DataFrame, keys: list[str]) -> DataFrame:
     scored = versions.select(*keys, F.col("merge_seq").cast("long").alias("seq"), F.coalesce(F.get("source_doc_ids", F.lit(0)), F.lit("")).alias("doc_id"), "properties", completeness(F.col("properties")).alias("score"))
     names = versions.select(*keys, F.explode(F.map_keys("properties")).alias("property_key")).distinct()
     events = scored.join(names, keys).select(*keys, "property_key", "seq", "doc_id", F.try_element_at("properties", F.col("property_key")).alias("value"), "score")
-    dealt = events.repartition(*keys, "property_key").sortWithinPartitions(*keys, "property_key", "seq")
+    ordered = events.repartition(n, *keys, "property_key").sortWithinPartitions(*keys, "property_key", "seq")
     schema = ", ".join(f"{k} string" for k in keys) + ", property_key string, kind string, value string, new_value string, doc_id string, old_completeness double, new_completeness double, seq long"
-    return dealt.mapInPandas(_fold(keys), schema)
+    return ordered.mapInPandas(_fold(keys), schema)
 
 
-def _side_columns(versions: DataFrame, keys: list[str]) -> DataFrame:
+def _folded_back(folded: DataFrame, keys: list[str], n: int) -> DataFrame:
+    values = folded.where("kind = 'value'").repartition(n, *keys)
+    return values.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
+
+
+def _side_columns(versions: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     chapter = F.when(F.coalesce("source_chapter", F.lit("")) != "", F.col("merge_seq"))
     return versions.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_doc_ids")))).alias("source_doc_ids"),
@@ -94,6 +102,7 @@ def _side_columns(versions: DataFrame, keys: list[str]) -> DataFrame:
         F.min("confidence").alias("confidence"),
         F.bool_or("verified").alias("verified"),
         F.min_by("feedback_score", "merge_seq").alias("feedback_score"),
+        *more,
     )
 
 
@@ -103,9 +112,10 @@ def merge_entities(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     A new value wins only over a value whose document, the first whose snapshot
     holds it, is less complete.  Every difference is a conflict.
     """
-    folded = _merged_properties(versions, ENTITY_KEY)
-    merged = folded.where("kind = 'value'").groupBy(*ENTITY_KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
-    entities = _side_columns(versions, ENTITY_KEY).join(merged, ENTITY_KEY, "left")
+    n = parts_of(versions)
+    versions = versions.repartition(n, *ENTITY_KEY)
+    folded = _merged_properties(versions, ENTITY_KEY, n)
+    entities = _side_columns(versions, ENTITY_KEY).join(_folded_back(folded, ENTITY_KEY, n), ENTITY_KEY, "left")
     return entities, folded.where("kind = 'conflict'").drop("kind").withColumnRenamed("value", "old_value")
 
 
@@ -114,10 +124,10 @@ def merge_relations(versions: DataFrame, entities: DataFrame) -> tuple[DataFrame
 
     Ends identify a relation; the first type stays.
     """
-    folded = _merged_properties(versions, RELATION_KEY)
-    merged = folded.where("kind = 'value'").groupBy(*RELATION_KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
-    first = versions.groupBy(*RELATION_KEY).agg(F.min_by("rel_type", "merge_seq").alias("rel_type"))
-    relations = _side_columns(versions, RELATION_KEY).join(first, RELATION_KEY).join(merged, RELATION_KEY, "left")
+    n = parts_of(versions)
+    together = versions.repartition(n, *RELATION_KEY)
+    folded = _merged_properties(together, RELATION_KEY, n)
+    relations = _side_columns(together, RELATION_KEY, F.min_by("rel_type", "merge_seq").alias("rel_type")).join(_folded_back(folded, RELATION_KEY, n), RELATION_KEY, "left")
     ends = versions.select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("name")).unionByName(versions.select(F.col("to_type").alias("entity_type"), F.col("to_name").alias("name"))).distinct()
     return relations, folded.where("kind = 'conflict'").drop("kind").withColumnRenamed("value", "old_value"), ends.join(entities, ENTITY_KEY, "left_anti")
 
@@ -154,8 +164,14 @@ def neighbors(relations: DataFrame, starts: DataFrame, direction: str = "both",
 
 
 def _plain_edges(relations: DataFrame, rel_types: list[str] | None = None) -> DataFrame:
+    """(src, dst), repeated if the graph has several relations between two nodes."""
     rels = relations.where(F.col("rel_type").isin(rel_types)) if rel_types else relations
-    return rels.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst")).distinct()
+    return rels.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst"))
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """To be broadcast if its counted rows are few; of a written or cached table."""
+    return F.broadcast(df) if df.count() * 256 <= BROADCAST_BYTES else df
 
 
 def subgraph(entities: DataFrame, relations: DataFrame, centers: DataFrame, depth: int = 1, rel_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -165,12 +181,12 @@ def subgraph(entities: DataFrame, relations: DataFrame, centers: DataFrame, dept
     and cached (to disk if need be), as later layers and the edges start from it.
     """
     start = centers.join(entities.select(*ENTITY_KEY), ENTITY_KEY, "left_semi")
-    seen = start.select("qid", node_id("entity_type", "name").alias("nid")).distinct()
+    seen = start.select("qid", node_id("entity_type", "name").alias("nid")).distinct().persist()
     edges = _plain_edges(relations, rel_types)
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     layer = seen
     for _ in range(depth):
-        layer = layer.join(both, F.col("nid") == F.col("src")).select("qid", F.col("dst").alias("nid")).distinct().join(seen, ["qid", "nid"], "left_anti").persist()
+        layer = both.join(_if_small(layer), F.col("nid") == F.col("src")).select("qid", F.col("dst").alias("nid")).distinct().join(seen, ["qid", "nid"], "left_anti").persist()
         seen = seen.unionByName(layer)
     every = relations.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst"), "rel_type")
     inside = every.join(seen.withColumnRenamed("nid", "src"), "src").join(seen.withColumnRenamed("nid", "dst"), ["qid", "dst"], "left_semi").select("qid", "src", "dst", "rel_type")
@@ -180,11 +196,16 @@ def subgraph(entities: DataFrame, relations: DataFrame, centers: DataFrame, dept
 def find_paths(relations: DataFrame, pairs: DataFrame, max_depth: int = 3, rel_types: list[str] | None = None) -> DataFrame:
     """(qid, path, length): directed simple paths of each pair (qid, src, dst) of node ids, at most ``max_depth`` (1 to 6) edges."""
     edges = _plain_edges(relations, rel_types).select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
-    walk = pairs.where("src <> dst").select("qid", F.array("src").alias("path"), F.col("src").alias("at"), "dst")
-    found = None
-    for step in range(1, max(1, min(max_depth, 6)) + 1):
-        walk = walk.join(edges, F.col("at") == F.col("e_src")).where(~F.array_contains("path", F.col("e_dst")))
-        walk = walk.select("qid", F.array_append("path", F.col("e_dst")).alias("path"), F.col("e_dst").alias("at"), "dst")
+    walk = written(pairs.where("src <> dst").select("qid", F.array("src").alias("path"), F.col("src").alias("at"), "dst"), "walk")
+    goals = _if_small(written(walk.select(F.col("dst").alias("e_dst")).distinct(), "goals"))
+    most, found = max(1, min(max_depth, 6)), None
+    for step in range(1, most + 1):
+        # The last step goes to the ends only; edges that no walk takes are left out before they are moved.
+        ways = edges if step < most else edges.join(goals, "e_dst", "left_semi")
+        ways = ways.join(_if_small(written(walk.select(F.col("at").alias("e_src")).distinct(), "fronts")), "e_src", "left_semi")
+        ways = dealt(ways, "e_src").select("e_src", "e_dst").distinct()
+        walk = walk.join(ways, (F.col("at") == F.col("e_src")) & (F.lit(True) if step < most else F.col("dst") == F.col("e_dst"))).where(~F.array_contains("path", F.col("e_dst")))
+        walk = written(walk.select("qid", F.array_append("path", F.col("e_dst")).alias("path"), F.col("e_dst").alias("at"), "dst"), "walk")
         here = walk.where("at = dst").select("qid", "path", F.lit(step).cast("long").alias("length"))
         found = here if found is None else found.unionByName(here)
         walk = walk.where("at <> dst")
@@ -316,6 +337,9 @@ def context_of_hits(hits: DataFrame, bridge: DataFrame, entities: DataFrame, rel
     every relation at an entity of a block; each once a query.
     """
     # Few rows that several joins below start from; cached, so that the search behind the hits runs once.
+    hits = written(hits.select("qid", "id"), "hits")
+    met = _if_small(written(hits.select(F.col("id").alias("block_id")).distinct(), "hit-blocks"))
+    bridge = bridge.join(met, "block_id", "left_semi")
     direct = hits.join(bridge, hits["id"] == bridge["block_id"]).select("qid", *ENTITY_KEY).distinct().join(entities.select(*ENTITY_KEY), ENTITY_KEY, "left_semi").persist()
     nodes, inside = subgraph(entities, relations, direct, depth)
     plain = relations.select(node_id("from_type", "from_name").alias("src"), node_id("to_type", "to_name").alias("dst"), "rel_type")

@@ -204,7 +204,8 @@ def product_edges(spark, sf_dir):
 
 @query("section_relations", "WITH r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), e AS (SELECT 'sec' || s_nationkey AS section, s_suppkey AS s FROM supplier), f AS (SELECT 'sec' || p_size % 25 AS section, p_partkey AS p FROM part) SELECT section, count(*) AS relations FROM (SELECT section, s, p FROM r JOIN e USING (s) UNION SELECT section, s, p FROM r JOIN f USING (p)) GROUP BY section")
 def section_relations(spark, sf_dir):
-    rels = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.lit("Supplier").alias("from_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_name"), F.lit("SUPPLIES").alias("rel_type"), F.lit("Part").alias("to_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to_name")).distinct()
+    rels = dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct()
+    rels = rels.select(F.lit("d").alias("doc_id"), F.lit("Supplier").alias("from_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_name"), F.lit("SUPPLIES").alias("rel_type"), F.lit("Part").alias("to_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to_name"))
     a = table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), F.concat(F.lit("sec"), F.col("s_nationkey").cast("string")).alias("section"), F.lit("Supplier").alias("entity_type"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"))
     b = table(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.concat(F.lit("sec"), (F.col("p_size") % 25).cast("string")).alias("section"), F.lit("Other").alias("entity_type"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"))
     return ex.section_relations(a.unionByName(b), rels).groupBy("section").agg(F.count("*").alias("relations"))

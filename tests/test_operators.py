@@ -348,3 +348,33 @@ def test_answers_are_parsed_in_many_tasks_and_once(spark):
     assert lines.rdd.getNumPartitions() >= 4
     for df in ex.extract_results(lines, chapters):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
+
+
+def test_groups_are_made_in_partitions_in_proportion_to_the_input(spark, monkeypatch):
+    from conftest import DATA
+    from quillgraph import session
+    from quillgraph.plans import QUERIES, fixtures as fx
+
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 12)
+    n = session.parts_of(fx.table(spark, DATA, "lineitem").select("l_orderkey"))
+    plan = str(fx.bridge(spark, DATA)._jdf.queryExecution().executedPlan())
+    assert n > 10 and f", {n}), REPARTITION_BY_NUM" in plan
+    for name in ("entities_by_block", "merge_relations", "merge_missing_endpoints", "section_relations"):
+        assert "REPARTITION_BY_NUM" in str(QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan())
+
+
+def test_the_last_step_of_a_path_goes_to_its_end(spark):
+    """A start with 500 ways; of the last step's rows only those at the end are made."""
+    rel = spark.createDataFrame([("M", "A", "M", f"b{i}", "X") for i in range(500)] + [("M", f"b{i}", "M", f"c{j}", "X") for i in range(500) for j in range(3)] + [("M", "A", "M", "c1", "X"), ("M", "A", "M", "c1", "Y")], "from_type string, from_name string, to_type string, to_name string, rel_type string")
+    found = g.find_paths(rel, spark.createDataFrame([(0, "M::A", "M::c1")], "qid int, src string, dst string"), 2)
+    assert sorted((x.length, len(x.path)) for x in found.collect()) == [(1, 2)] + [(2, 3)] * 500
+    assert sum(_moved(found) or [0]) == 0
+
+
+def test_separators_of_equal_boxes(spark):
+    """Equal boxes are one island, wherever a sort puts them."""
+    from quillgraph.operators import layout as ly
+
+    boxes = [(145164, 200.0, 220.0), (145164, 200.0, 230.0), (145164, 600.0, 644.0), (145164, 600.0, 644.0)]
+    rows = spark.createDataFrame([("d", p, "heading", a, b) for p, a, b in boxes], "doc_id string, page long, kind string, y0 double, y1 double")
+    assert ids(ly.separators(rows), "y0", "y1") == [(200.0, 230.0), (600.0, 644.0)]
