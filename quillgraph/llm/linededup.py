@@ -140,11 +140,13 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, batches: int = BAT
     base = base.select("id", F.xxhash64("text").alias("text_key"), F.transform(F.split("text", "\n", -1), line_key).alias("lines"))
     lines = base.select("id", "text_key", F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= least_chars)
     lines = common.written(lines.select("id", "text_key", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), batch.alias("batch")), "line-hashes", "batch")
-    runs, drops = LineRuns(spark, fanout), None
+    # Each batch's drops are written as they are found: one plan of all batches would start some 24 scans and shuffles at once, each of which costs the driver some MB.
+    runs, path = LineRuns(spark, fanout), common.scratch_path(spark, "line-drops")
     for b in range(len(bounds) + 1):
         part = lines.where(F.col("batch") == b).drop("batch")
         part = mark_batch(part, runs).groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone"))
-        drops = part if drops is None else drops.unionByName(part)
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    drops = spark.read.schema(part.schema).parquet(path)
     runs.forget()
     # Repeated rows of one id and text have one row of drops; an id lies in one batch.
     taken = set(docs.columns)
